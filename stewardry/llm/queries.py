@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import pii, secrets
+from stewardry.llm import dataset_queries, pii, secrets
 from stewardry.llm.decontaminate import benchmark_hits
 from stewardry.llm.exact_dedup import exact_dedup
 from stewardry.llm.jaccard import near_duplicates
-from stewardry.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from stewardry.llm.mixing import mixing_rates, quality_domains
 from stewardry.llm.suffix_array import remove_repeated_bytes
 from stewardry.llm.suffix_tree import remove_repeated_words
@@ -77,59 +76,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of `documents`, and which of its rows still fold to the root after some texts were lower-cased."""
-    docs = table(spark, sf_dir, "documents")
-    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    now = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.when(tampered, lowered).otherwise(F.col("text")))
-    made = merkle_manifest(docs, carry={"now": now})
-    told = made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), folded(F.col("now"), F.col("steps")).alias("folded_root"))
-    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
-
-
-_OPS = (op1_suffix_dedup, op2_mixing, op3_decontaminate, op4_secrets, op5_pii, op6_url_rules, op7_jaccard_join, op8_toxicity, op9_exact_dedup, op10_substring_dedup, op11_merkle)
-QUERIES = {f.__name__: f for f in _OPS}
-
-
-def _merkle_sql(levels: int = 9) -> str:
-    """Trees of up to 8 ** levels leaves a group. n: nodes of a level; what a node takes along while it goes up is its leaf's."""
-    def climb(name: str, first: str, key: str) -> str:
-        # a0: every leaf with its digest (and its tampered one), its place and its siblings so far; each level replaces the digests by those of the run
-        parts = [f"{name}0 as ({first})"]
-        for k in range(levels):
-            parts.append(
-                f"{name}d{k} as (select {key}, i, any_value(size) as size, any_value(d) as d from {name}{k} group by {key}, i), "
-                f"{name}r{k} as (select {key}, i // 8 as p, list(d order by i) as run from {name}d{k} where size > 1 group by {key}, i // 8), "
-                f"{name}{k + 1} as (select a.{key}, a.leaf_key, case when r.run is null then a.i else a.i // 8 end as i, case when r.run is null then a.size else (a.size + 7) // 8 end as size, "
-                "case when r.run is null then a.d else sha256(array_to_string(r.run, '')) end as d, "
-                "case when r.run is null then a.proof else a.proof || array_to_string(r.run[1 : a.i % 8] || r.run[a.i % 8 + 2 : 8], '') end as proof, "
-                "case when r.run is null then a.f else sha256(array_to_string(r.run[1 : a.i % 8], '') || a.f || array_to_string(r.run[a.i % 8 + 2 : 8], '')) end as f "
-                f"from {name}{k} a left join {name}r{k} r on a.{key} is not distinct from r.{key} and a.i // 8 = r.p)"
-            )
-        return ", ".join(parts)
-
-    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    told = lambda c: f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || {c}, '-')"
-    leaf = lambda text: f"sha256({' || '.join(map(told, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
-    crc = "xor(4294967295, list_reduce(list_concat([4294967295::ubigint], flatten([[ascii(x)::ubigint, 0, 0, 0, 0, 0, 0, 0] for x in string_split(cast(doc_id as varchar), '')])), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))))"
-    first = f"select lang, doc_id as leaf_key, row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as size, {leaf('text')} as d, '' as proof, case when {crc} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as f from documents"
-    tops = f"select 0 as one, lang as leaf_key, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as size, d, '' as proof, d as f from (select lang, any_value(d) as d from a{levels} group by lang)"
-    # the second tree is folded with each leaf's own subroot: from the top's siblings, taken per level
-    steps = ", ".join(f"s{k} as (select a.leaf_key, array_to_string(r.run[1 : a.i % 8], '') as l, array_to_string(r.run[a.i % 8 + 2 : 8], '') as r from t{k} a join tr{k} r on a.i // 8 = r.p)" for k in range(3))
-    fold = "a.f"
-    for k in range(3):
-        fold = f"case when s{k}.l is null then {fold} else sha256(s{k}.l || {fold} || s{k}.r) end"
-    return f"""
-with {climb('a', first, 'lang')}, {climb('t', tops, 'one')}, {steps},
-done as (select a.leaf_key as doc_id, a.lang, a.d as subroot, t.d as root, sha256(a.proof || t.proof) as proof_sha256, {fold} as folded_root
-  from a{levels} a join t{levels} t on a.lang is not distinct from t.leaf_key {' '.join(f'left join s{k} on a.lang is not distinct from s{k}.leaf_key' for k in range(3))})
-select doc_id, a0.d as leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from done join a0 on done.doc_id = a0.leaf_key
-"""
+_OPS = (op1_suffix_dedup, op2_mixing, op3_decontaminate, op4_secrets, op5_pii, op6_url_rules, op7_jaccard_join, op8_toxicity, op9_exact_dedup, op10_substring_dedup)
+QUERIES = {f.__name__: f for f in _OPS} | dataset_queries.QUERIES
 
 
 ORACLES = {
-    "op11_merkle": _merkle_sql(),
     "op1_suffix_dedup": r"""
 with t as (select doc_id, encode(coalesce(text, '')) as b from documents),
 h as (select doc_id, hex(b) as x, octet_length(b) as n from t),
@@ -198,3 +149,4 @@ select doc_id, first_value(doc_id) over (partition by norm order by n desc, doc_
   doc_id = first_value(doc_id) over (partition by norm order by n desc, doc_id) as kept, sha256(norm) as text_sha256 from t
 """,
 }
+ORACLES |= dataset_queries.ORACLES
