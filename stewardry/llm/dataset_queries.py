@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardry.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
-from stewardry.session import table
+from stewardry.llm.resample import resample
+from stewardry.session import ship, table
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +57,38 @@ select doc_id, a0.d as leaf, subroot, root, proof_sha256, folded_root, folded_ro
 """
 
 
-QUERIES = {f.__name__: f for f in (op11_merkle,)}
-ORACLES = {"op11_merkle": _merkle_sql()}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 is linear: each byte counts by itself, told by its value and the number of bytes behind it; zeros gives the rest by length.
+_CRC_SQL = """
+bytes0(b, k, c) as (select b, 0, cast(b as ubigint) from range(256) r(b) union all select b, k + 1, xor(c >> 1, 3988292384 * (c & 1)) from bytes0 where k < 8),
+one as (select b, c from bytes0 where k = 8),
+behind(j, b, c) as (select 0, b, c from one union all select j + 1, s.b, xor(s.c >> 8, one.c) from behind s join one on one.b = (s.c & 255) where j < (select max(octet_length(encode(x))) from distinct_features)),
+zeros(n, c) as (select 0, cast(4294967295 as ubigint) union all select n + 1, xor(z.c >> 8, one.c) from zeros z join one on one.b = (z.c & 255) where n < (select max(octet_length(encode(x))) from distinct_features))"""
+
+_RESAMPLE_SQL = r"""
+with recursive texts as (select 'd' as side, doc_id as id, coalesce(text, '') as x from documents union all select 't', item_id, coalesce(text, '') from benchmark),
+w as (select side, id, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+f as (select side, id, x, count(*) as n from (select side, id, array_to_string(w[i : i + k - 1], ' ') as x from (select side, id, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 4) t(k) where len(w) >= k)) group by all),
+distinct_features as (select distinct x from f),""" + _CRC_SQL + r""",
+hashed as (select x, xor(xor(any_value(z.c), 4294967295), bit_xor(s.c)) % 10000 as bucket
+  from (select x, e, n, unnest(range(n)) as i from (select x, hex(encode(x)) as e, octet_length(encode(x)) as n from distinct_features)) q
+  join behind s on s.j = n - 1 - i and s.b = (instr('0123456789ABCDEF', e[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', e[2 * i + 2]) - 1
+  join zeros z on z.n = q.n group by x),
+b as (select side, id, bucket, sum(n) as n from f join hashed using (x) group by all),
+g as (select bucket, cast(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) as bigint) as gain
+  from (select bucket, cast(s as double) as s, cast(t as double) as t, sum(s) over () as ss, sum(t) over () as tt from (select bucket, coalesce(sum(n) filter (side = 'd'), 0) as s, coalesce(sum(n) filter (side = 't'), 0) as t from b group by bucket))),
+weights as (select id, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as weight from b join g using (bucket) where side = 'd' group by id),
+scored as (select w.id as doc_id, len(w) as words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || sha256('42:' || w.id)[1:8] as bigint) + 0.5) / 4294967296))) as bigint) as score
+  from w left join weights using (id) where side = 'd'),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as n from scored where words >= 20)
+select doc_id, n_features, weight, score, r as rank from scored left join (select * from ranked where r <= 5 * n // 100) using (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op11_merkle, op13_resample)}
+ORACLES = {"op11_merkle": _merkle_sql(), "op13_resample": _RESAMPLE_SQL}
