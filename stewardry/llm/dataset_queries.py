@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stewardry.llm.extract import extract_main_text
 from stewardry.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from stewardry.llm.resample import resample
 from stewardry.session import ship, table
@@ -90,5 +91,18 @@ ranked as (select doc_id, row_number() over (order by score desc, doc_id) as r,
 select doc_id, n_features, weight, score, r as rank from scored left join (select * from ranked where r <= 5 * n // 100) using (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op11_merkle, op13_resample)}
-ORACLES = {"op11_merkle": _merkle_sql(), "op13_resample": _RESAMPLE_SQL}
+def op12_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+#: What the labeller has to find on the given pages, whose articles are marked as such; it is told nothing of that.
+_ARTICLE_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') as body from pages),
+b as (select page_id, url, list_transform(regexp_split_to_array(body, '</?(p|h1)>'), lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) as parts from a),
+c as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as parts from b)
+select page_id, url, text, length(text) as n_chars from (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from c)
+"""
+
+QUERIES = {f.__name__: f for f in (op11_merkle, op12_extract, op13_resample)}
+ORACLES = {"op11_merkle": _merkle_sql(), "op12_extract": _ARTICLE_SQL, "op13_resample": _RESAMPLE_SQL}
