@@ -28,3 +28,14 @@ def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[Column | st
     inside = placed.withColumn("__n", F.row_number().over(W.partitionBy("__range", "__group").orderBy(*by)))
     out = inside.join(offsets, ["__range", "__group"])
     return out.select(*[F.col(c) for c in rows.columns], (F.col("__before") + F.col("__n")).alias(name), *([F.col("__total").alias(total)] if total else []))
+
+
+def running(rows: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """`rows` with the sum of `value` over all rows up to each by `order`, which must tell rows apart; no task holds all rows."""
+    by = [F.col(o).asc_nulls_first() if isinstance(o, str) else o for o in order]
+    placed = written(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    sums = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy().orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = placed.withColumn("__n", F.sum(value).over(W.partitionBy("__range").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)))
+    out = inside.join(sums.select("__range", before.alias("__before")), "__range")
+    return out.select(*[F.col(c) for c in rows.columns], (F.col("__before") + F.col("__n")).alias(name))

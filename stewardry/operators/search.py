@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stewardry.operators.store import Store
 from stewardry.session import written
 
 #: Words that a query and an index leave out.
@@ -21,10 +23,17 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 HIDDEN = "▪▪▪"
 
 
+def stem(w: Column) -> Column:
+    """Plural and verb endings of English are cut off words of five letters and more."""
+    cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    ends = lambda *x: reduce(lambda p, q: p | q, [F.endswith(w, F.lit(e)) for e in x])
+    return F.when(F.length(w) <= 4, w).when(ends("ies", "ing"), cut(3)).when(ends("ed", "es"), cut(2)).when(ends("s"), cut(1)).otherwise(w)
+
+
 def terms(text: Column) -> Column:
-    """Lower-case words without stop words; plural and verb endings of English are cut off."""
+    """Stems of the lower-case words without stop words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP))
-    return F.transform(words, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(?:ies|ing|ed|es|s)$", "")).otherwise(w))
+    return F.transform(words, stem)
 
 
 def guarded(rows: DataFrame, storage_class: str = "storage_class") -> DataFrame:
@@ -33,15 +42,15 @@ def guarded(rows: DataFrame, storage_class: str = "storage_class") -> DataFrame:
     return rows.where(~((c == "pii") | F.startswith(c, F.lit("pii.")) | F.startswith(c, F.lit("secret."))))
 
 
-def index_rows(rows: DataFrame, id_col: str, text_col: str, order: Column | None = None) -> DataFrame:
-    """(id, text, terms), the latest text of each record."""
-    if order is not None:
-        rows = rows.withColumn("__n", F.row_number().over(W.partitionBy(id_col).orderBy(order))).where("__n = 1")
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), terms(F.col(text_col)).alias("terms"))
+def index_rows(rows: DataFrame, id_col: str, text_col: str, order: str | None = None) -> DataFrame:
+    """(id, text, terms), one row a record: the last by `order`, without it the one of the largest text."""
+    told = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(order) if order else F.lit(0)).alias("o"))
+    last = told.groupBy("id").agg(F.max_by("text", F.struct("o", "text")).alias("text"))
+    return last.select("id", "text", terms(F.col("text")).alias("terms"))
 
 
-def query_terms(index: DataFrame, query: str) -> list[str]:
-    got = index.sparkSession.range(1).select(F.array_distinct(terms(F.lit(query))).alias("t")).first().t
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    got = spark.range(1).select(F.array_distinct(terms(F.lit(query))).alias("t")).first().t
     if not got:
         raise ValueError("the query has no words")
     return got
@@ -49,18 +58,18 @@ def query_terms(index: DataFrame, query: str) -> list[str]:
 
 def lexical_search(index: DataFrame, query: str, scope: DataFrame | None = None, limit: int = 20) -> DataFrame:
     """(id, score, snippet) of rows that have every word of the query; score: their share of the row's words. scope: ids (__id) the caller may see."""
-    wanted = query_terms(index, query)
+    wanted = query_terms(index.sparkSession, query)
     rows = index if scope is None else index.join(scope, index["id"] == scope["__id"], "left_semi")
     for t in wanted:
         rows = rows.where(F.array_contains("terms", t))
     hits = F.size(F.filter("terms", lambda w: w.isin(wanted)))
     ranked = rows.select("id", (hits / F.size("terms")).alias("score"), "text").orderBy(F.desc("score"), "id").limit(max(1, min(100, limit)))
-    return ranked.select("id", "score", _snippet(F.col("text"), wanted).alias("snippet"))
+    return ranked.select("id", "score", snippet(F.col("text"), wanted).alias("snippet"))
 
 
 def bm25_search(index: DataFrame, query: str, scope: DataFrame | None = None, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score, snippet) by BM25 over the rows the caller may see; statistics are those of the whole index."""
-    wanted = query_terms(index, query)
+    wanted = query_terms(index.sparkSession, query)
     stats = index.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"), *[F.count_if(F.array_contains("terms", t)).alias(f"df{i}") for i, t in enumerate(wanted)])
     total = stats.select(F.struct("*")).scalar()
     rows = index if scope is None else index.join(scope, index["id"] == scope["__id"], "left_semi")
@@ -71,88 +80,154 @@ def bm25_search(index: DataFrame, query: str, scope: DataFrame | None = None, li
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("terms") / F.col("mean")))
     ranked = met.select("id", score.alias("score"), "text").orderBy(F.desc("score"), "id").limit(max(1, min(100, limit)))
-    return ranked.select("id", "score", _snippet(F.col("text"), wanted).alias("snippet"))
-
-
-#: Parts that the terms of a stored index are dealt into; a query reads those of its words.
-PARTS = 64
+    return ranked.select("id", "score", snippet(F.col("text"), wanted).alias("snippet"))
 
 
 @dataclass(frozen=True)
 class Stored:
-    """A stored index: postings (part, term, id, tf, size), documents (id, text, size), and the number and mean size of all documents."""
+    """A stored index: segments that are only ever added, each the postings and texts of one upsert.
+
+    postings: (term, id, tf, size, segment), in files ranged by term and id, so that a query reads the files of its words and a
+    common word lies in many; documents: (id, text, size, segment); gone: (id, segment), what is dead in all earlier segments.
+    """
+
+    store: Store
+
+    def _read(self, table: str) -> DataFrame:
+        return self.store.read(table, _TABLES[table](self.store.id_type))
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read("postings")
+
+    @property
+    def documents(self) -> DataFrame:
+        return self._read("documents")
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (id, segment, …) of segments in which their record is alive."""
+        dead = self._read("gone").groupBy(F.col("id").alias("__gone")).agg(F.max("segment").alias("__until"))
+        return rows.join(dead, F.col("id") == F.col("__gone"), "left").where("__until is null or segment >= __until").drop("__gone", "__until")
+
+    def totals(self) -> tuple[int, float]:
+        """(records, mean number of words)."""
+        t = self._read("totals").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+        return (t.n, t.words / t.n) if t.n else (0, 0.0)
+
 
-    postings: DataFrame
-    documents: DataFrame
-    n: int
-    mean: float
+_TABLES = {
+    "postings": lambda t: f"term string, id {t}, tf long, size int, segment long", "documents": lambda t: f"id {t}, text string, size int, segment long",
+    "gone": lambda t: f"id {t}, segment long", "totals": lambda t: "n long, words long",
+}
 
 
-def _part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+class _IndexStore(Store):
+    def __init__(self, spark: SparkSession, path: str, id_type: str):
+        super().__init__(spark, path)
+        self.id_type = id_type
 
 
-def store_index(index: DataFrame, path: str) -> None:
-    """Writes an index (as index_rows gives it): postings by the part and order of their terms, documents, and totals."""
-    index.select("id", "text", F.size("terms").alias("size")).write.parquet(f"{path}/documents")
-    words = index.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
-    words.withColumn("part", _part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{path}/postings")
-    index.sparkSession.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).write.parquet(f"{path}/totals")
+def _segment(stored: Stored, changed: DataFrame | None, removed: DataFrame | None) -> None:
+    """Adds one segment: changed rows (as index_rows gives them), and ids that are no more."""
+    store = stored.store
+    seen, t = store.version(), store.id_type
+    n = F.lit(seen + 1).cast("long").alias("segment")
+    empty = store.spark.createDataFrame([], f"id {t}, text string, terms array<string>")
+    new = written((empty if changed is None else changed).select(F.col("id").cast(t).alias("id"), "text", "terms", F.size("terms").alias("size")))
+    if new.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ValueError("a record comes twice: index_rows gives the latest text of each")
+    ids = new.select("id") if removed is None else new.select("id").unionByName(removed.select(F.col("id").cast(t).alias("id")))
+    ids = written(ids.distinct())
+    parts = {}
+    lost = store.spark.createDataFrame([], "n long, words long")
+    if seen:
+        before = stored.live(stored.documents.select("id", "size", "segment")).join(ids.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left_semi")
+        lost = before.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("size"), F.lit(0))).cast("long").alias("words"))
+        parts["gone"] = ids.select("id", n)
+    words = new.select("id", "size", F.explode("terms").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
+    parts["postings"] = words.select("term", "id", "tf", "size", n).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    parts["documents"] = new.select("id", "text", "size", n).repartitionByRange("id").sortWithinPartitions("id")
+    gained = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("words"))
+    parts["totals"] = gained.unionByName(lost)
+    store.commit(parts, seen)
 
 
-def open_index(spark: SparkSession, path: str) -> Stored:
-    total = spark.read.parquet(f"{path}/totals").first()
-    return Stored(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), total.n, total.mean or 0.0)
+def store_index(index: DataFrame, path: str) -> Stored:
+    """Writes an index (as index_rows gives it) as its first segment."""
+    stored = Stored(_IndexStore(index.sparkSession, path, index.schema["id"].dataType.simpleString()))
+    _segment(stored, index, None)
+    return stored
 
 
-def upsert_index(stored: Stored, changed: DataFrame, path: str) -> None:
-    """Writes the index anew with the changed rows (as index_rows gives them) in place of their old form."""
-    new = written(changed)
-    ids = new.select(F.col("id").alias("__new"))
-    keep = lambda x: x.join(ids, x["id"] == F.col("__new"), "left_anti")
-    keep(stored.documents).unionByName(new.select("id", "text", F.size("terms").alias("size"))).write.parquet(f"{path}/documents")
-    words = new.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf")).withColumn("part", _part(F.col("term")))
-    keep(stored.postings).unionByName(words).repartition("part").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{path}/postings")
-    new.sparkSession.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).write.parquet(f"{path}/totals")
+def open_index(spark: SparkSession, path: str, id_type: str = "bigint") -> Stored:
+    return Stored(_IndexStore(spark, path, id_type))
+
+
+def upsert_index(stored: Stored, changed: DataFrame) -> None:
+    """Adds a segment of the changed rows only; what they replace is dead from then on."""
+    _segment(stored, changed, None)
+
+
+def remove_from_index(stored: Stored, ids: DataFrame) -> None:
+    _segment(stored, None, ids)
+
+
+def compact_index(stored: Stored, path: str) -> Stored:
+    """The live rows as one segment of a new index: worth its cost when many segments, or many dead rows, have gathered."""
+    live = stored.live(stored.documents)
+    return store_index(live.select("id", "text", terms(F.col("text")).alias("terms")), path)
 
 
 def _postings(stored: Stored, wanted: list[str]) -> DataFrame:
-    parts = stored.postings.sparkSession.createDataFrame([(t,) for t in wanted], "t string").select(_part(F.col("t")).alias("p")).distinct().collect()
-    return stored.postings.where(F.col("part").isin([r.p for r in parts]) & F.col("term").isin(wanted))
+    return stored.live(stored.postings.where(F.col("term").isin(wanted)))
 
 
-def _snippet(text: Column, wanted: list[str], around: int = 80) -> Column:
-    """The text around the first word that begins like one of the query's."""
-    at = F.array_min(F.filter(F.array(*[F.locate(t, F.lower(text)) for t in wanted]), lambda x: x > 0))
-    begin = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - around)
-    return F.substring(text, begin, F.lit(2 * around))
+#: Words of a snippet.
+LEAST_WORDS, MOST_WORDS = 10, 24
+
+
+def snippet(text: Column, wanted: list[str]) -> Column:
+    """The words around a text's best place: of all stretches of MOST_WORDS words that begin with one of the query's, the first that has most of them, cut behind the last one, of LEAST_WORDS at least. Never part of a word."""
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    query = F.array(*map(F.lit, wanted))
+    # the word of the query that a piece holds, else an empty one
+    met = F.transform(pieces, lambda w: F.coalesce(F.get(F.array_intersect(terms(w), query), F.lit(0)), F.lit("")))
+    places = F.filter(F.transform(met, lambda m, k: F.when(m != "", k + 1)), lambda k: k.isNotNull())
+    seen = lambda k: F.array_remove(F.array_distinct(F.slice(met, k, MOST_WORDS)), "")
+    best = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(1).alias("at")), lambda b, k: F.when(F.size(seen(k)) > b["n"], F.struct(F.size(seen(k)).alias("n"), k.cast("int").alias("at"))).otherwise(b))
+    begin = best["at"]
+    last = F.array_max(F.transform(F.slice(met, begin, MOST_WORDS), lambda m, k: F.when(m != "", k + 1).otherwise(0)))
+    return F.array_join(F.slice(pieces, begin, F.greatest(F.coalesce(last, F.lit(0)), F.lit(LEAST_WORDS))), " ")
 
 
 def _best(scored: DataFrame, stored: Stored, wanted: list[str], limit: int) -> DataFrame:
     # at most a hundred rows fetch their texts
     top = scored.orderBy(F.desc("score"), "id").limit(max(1, min(100, limit)))
-    texts = stored.documents.select(F.col("id").alias("__id"), "text").join(F.broadcast(top), F.col("__id") == F.col("id"))
-    return texts.select("id", "score", _snippet(F.col("text"), wanted).alias("snippet")).orderBy(F.desc("score"), "id")
+    texts = stored.documents.select(F.col("id").alias("__id"), F.col("segment").alias("__segment"), "text").join(F.broadcast(top), (F.col("__id") == F.col("id")) & (F.col("__segment") == F.col("segment")))
+    return texts.select("id", "score", snippet(F.col("text"), wanted).alias("snippet")).orderBy(F.desc("score"), "id")
+
+
+def _within(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
+    return rows if scope is None else rows.join(scope, rows["id"] == scope["__id"], "left_semi")
 
 
 def stored_lexical(stored: Stored, query: str, scope: DataFrame | None = None, limit: int = 20) -> DataFrame:
     """As lexical_search, from the postings of the query's words."""
-    wanted = query_terms(stored.postings, query)
-    rows = _postings(stored, wanted)
-    rows = rows if scope is None else rows.join(scope, rows["id"] == scope["__id"], "left_semi")
-    met = rows.groupBy("id").agg((F.sum("tf") / F.first("size")).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(wanted))
-    return _best(met.select("id", "score"), stored, wanted, limit)
+    wanted = query_terms(stored.store.spark, query)
+    rows = _within(_postings(stored, wanted), scope)
+    met = rows.groupBy("id", "segment").agg((F.sum("tf") / F.first("size")).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(wanted))
+    return _best(met.select("id", "segment", "score"), stored, wanted, limit)
 
 
 def stored_bm25(stored: Stored, query: str, scope: DataFrame | None = None, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """As bm25_search, from the postings of the query's words."""
-    wanted = query_terms(stored.postings, query)
+    wanted = query_terms(stored.store.spark, query)
     rows = _postings(stored, wanted)
+    n, mean = stored.totals()
     seen = {r.term: r["count"] for r in rows.groupBy("term").count().collect()}
-    idf = F.create_map(*[F.lit(x) for t, df in seen.items() for x in (t, float(np.log(1 + (stored.n - df + 0.5) / (df + 0.5))))]) if seen else F.lit(None).cast("map<string,double>")
-    rows = rows if scope is None else rows.join(scope, rows["id"] == scope["__id"], "left_semi")
-    weight = F.try_element_at(idf, F.col("term")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(stored.mean)))
-    return _best(rows.groupBy("id").agg(F.sum(weight).alias("score")), stored, wanted, limit)
+    idf = F.create_map(*[F.lit(x) for t, df in seen.items() for x in (t, float(np.log(1 + (n - df + 0.5) / (df + 0.5))))]) if seen else F.lit(None).cast("map<string,double>")
+    weight = F.try_element_at(idf, F.col("term")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean)))
+    return _best(_within(rows, scope).groupBy("id", "segment").agg(F.sum(weight).alias("score")), stored, wanted, limit)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -219,9 +294,15 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, query: list[float]
     return vectors.select(id_col, F.round(cosine(F.col(vector_col), q), 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def message_search(messages: DataFrame, threads: DataFrame, query: str, scope: DataFrame, limit: int = 20, body_visible: bool = True) -> DataFrame:
-    """Messages (id, thread, body) of threads (thread, subject) that the caller may see (__id of messages); a hidden body is not shown."""
-    joined = messages.join(threads, "thread", "left")
-    rows = joined.select("id", F.concat(F.coalesce("body", F.lit("")), F.lit("\nThread: "), F.coalesce("subject", F.lit(""))).alias("text"))
-    found = lexical_search(index_rows(rows, "id", "text"), query, scope, limit)
+def message_search(messages: DataFrame, threads: DataFrame, query: str, scope: DataFrame, limit: int = 20, body_visible: bool = True, indexed: DataFrame | None = None) -> DataFrame:
+    """Messages (id, thread, body) of threads (thread, subject) that the caller may see (__id of messages); a hidden body is not shown.
+
+    indexed: the rows of an index that may be older than the messages; a hit whose message is no more is dropped.
+    """
+    rows = indexed
+    if rows is None:
+        joined = messages.join(threads, "thread", "left")
+        rows = joined.select("id", F.concat(F.coalesce("body", F.lit("")), F.lit("\nThread: "), F.coalesce("subject", F.lit(""))).alias("text"))
+    here = scope.join(messages.select(F.col("id").alias("__here")), F.col("__id") == F.col("__here"), "left_semi")
+    found = lexical_search(index_rows(rows, "id", "text"), query, here, limit)
     return found if body_visible else found.withColumn("snippet", F.lit(HIDDEN))

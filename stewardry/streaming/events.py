@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stewardry.operators.numbering import numbered
+
 MOST_DEPTH = 3
 
 
@@ -31,24 +32,48 @@ def triggered(events: DataFrame, automations: DataFrame) -> DataFrame:
     return events.join(a, same).where(watched)
 
 
-def runs(events: DataFrame, automations: DataFrame, conditions: Mapping[str, Column], done: DataFrame | None = None) -> DataFrame:
+def holds(op: Column, value: Column, wanted: Column, changed: Column, field: Column) -> Column:
+    """A condition given as data: its operator and operand are columns, so that any number of them is one expression.
+
+    eq and ne take texts that are numbers as numbers; `in` takes texts joined by bars; contains tells cases apart.
+    """
+    n, w = value.try_cast("double"), wanted.try_cast("double")
+    same = F.coalesce(n == w, value == wanted, F.lit(False))
+    among = F.exists(F.split(wanted, "[|]"), lambda x: F.coalesce(n == x.try_cast("double"), value == x, F.lit(False)))
+    tests = {
+        "eq": same, "ne": ~same, "in": among, "gt": n > w, "gte": n >= w, "lt": n < w, "lte": n <= w, "contains": F.contains(value, wanted),
+        "is_set": F.coalesce(value != "", F.lit(False)), "is_empty": F.coalesce(value == "", F.lit(True)), "changed": F.array_contains(changed, field),
+    }
+    out = F.lit(False)
+    for name, test in tests.items():
+        out = F.when(op == name, F.coalesce(test, F.lit(False))).otherwise(out)
+    return out
+
+
+def runs(events: DataFrame, automations: DataFrame, conditions: DataFrame, fields: Sequence[str], done: DataFrame | None = None) -> DataFrame:
     """(automation, event_id, outcome): once per automation and event; an event that automations made too deep is blocked.
 
-    Each automation is tested by its own condition; one without a condition runs whenever it is set off.
+    conditions: rows (automation, field, op, wanted), all of which must hold; an automation without any runs whenever it is set
+    off. fields: the columns of events that conditions may ask; an unknown field holds for nothing.
     """
-    passes = F.lit(True)
-    for name, test in conditions.items():
-        passes = F.when(F.col("automation") == name, F.coalesce(test, F.lit(False))).otherwise(passes)
-    met = triggered(events, automations).withColumn("outcome", F.when(F.col("depth") >= MOST_DEPTH, "loop_blocked").when(passes, "ran").otherwise("skipped"))
-    once = met.dropDuplicates(["automation", "event_id"])
+    met = triggered(events, automations).dropDuplicates(["automation", "event_id"])
     if done is not None:
-        once = once.join(done.select("automation", "event_id"), ["automation", "event_id"], "left_anti")
-    return once.select("automation", "event_id", "outcome")
+        met = met.join(done.select("automation", "event_id"), ["automation", "event_id"], "left_anti")
+    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
+    asked = conditions.groupBy("automation").agg(F.collect_list(F.struct("field", "op", "wanted")).alias("conditions"))
+    joined = met.withColumn("__values", values).join(asked, "automation", "left")
+    known = lambda c: c["field"].isin(list(fields))
+    passes = F.forall(F.coalesce("conditions", F.array().cast(asked.schema["conditions"].dataType)), lambda c: known(c) & holds(c["op"], F.try_element_at("__values", c["field"]), c["wanted"], F.col("changed"), c["field"]))
+    return joined.select("automation", "event_id", F.when(F.col("depth") >= MOST_DEPTH, "loop_blocked").when(passes, "ran").otherwise("skipped").alias("outcome"))
+
+
+#: What a change may be of.
+SIGNAL_KINDS = ("Record", "SchemaVersion")
 
 
 def signals(changes: DataFrame, org: str, order: list[str]) -> DataFrame:
-    """Changes with a number that rises by one within each organisation; ids only, no values."""
-    return changes.withColumn("seq", F.row_number().over(W.partitionBy(org).orderBy(*order)))
+    """Changes with a number that rises by one within each organisation; ids only, no values. An organisation of any size is numbered by ranges."""
+    return numbered(changes, [org], order, "seq")
 
 
 def digest_items(items: DataFrame, ts: str, minutes: int) -> DataFrame:
@@ -74,16 +99,21 @@ def route(preference: Column, is_quiet: Column) -> Column:
 
 def deliveries(requests: DataFrame, sent: DataFrame) -> DataFrame:
     """Requests not sent yet, one per idempotency key, the earliest."""
-    first = requests.withColumn("n", F.row_number().over(W.partitionBy("idempotency_key").orderBy("requested_at", "request_id"))).where("n = 1").drop("n")
+    others = [c for c in requests.columns if c != "idempotency_key"]
+    first = requests.groupBy("idempotency_key").agg(F.min_by(F.struct(*others), F.struct("requested_at", "request_id")).alias("r")).select("idempotency_key", "r.*")
     return first.join(sent.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
-def approvals(requests: DataFrame, decisions: DataFrame, at: Column) -> DataFrame:
-    """(request, status): decided by somebody other than the requester, or expired, or pending. The first valid decision counts."""
+def approvals(requests: DataFrame, decisions: DataFrame, at: Column, executed: DataFrame | None = None) -> DataFrame:
+    """(request, status): decided by somebody other than the requester, or expired, or pending; approved ones that have run are executed. The first valid decision counts."""
     d = decisions.withColumnRenamed("request", "r").join(requests.select(F.col("request").alias("r"), "requester"), "r").where(~F.col("decider").eqNullSafe(F.col("requester")))
     first = d.groupBy("r").agg(F.min_by("verdict", "decided_at").alias("verdict"))
     joined = requests.join(first, F.col("request") == F.col("r"), "left")
-    return joined.select("request", F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("expires_at") < at, "expired").otherwise("pending").alias("status"))
+    status = F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("expires_at") < at, "expired").otherwise("pending")
+    if executed is not None:
+        joined = joined.join(executed.select(F.col("request").alias("__e")).distinct(), F.col("request") == F.col("__e"), "left")
+        status = F.when((F.col("verdict") == "approved") & F.col("__e").isNotNull(), "executed").otherwise(status)
+    return joined.select("request", status.alias("status"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -105,14 +135,27 @@ def windowed_counts(events: DataFrame, ts: str, key: str, window: str, late: str
     return timed.groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
-def exactly_once(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that may be called again for a batch: each batch has a folder of its own, and rows of earlier ones are left out."""
+def executed_once(requests: DataFrame, keys: Sequence[str], ts: str, kept: str) -> DataFrame:
+    """Requests of a stream, each key once: state by key, which goes when the watermark has passed a request by `kept`.
+
+    What a batch costs depends on its rows and on the state that is alive, not on the batches before. A key that comes again
+    later than that counts as new.
+    """
+    return requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, kept).dropDuplicatesWithinWatermark(list(keys))
+
+
+def into_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that may be called again for a batch: each has a folder of its own, which it writes anew. Earlier ones aren't read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        if number:
-            earlier = spark.read.parquet(*[f"{path}/batch={k}" for k in range(number)])
-            fresh = fresh.join(earlier.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def run_steps(requests: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ts: str, kept: str = "7 days") -> DataFrame:
+    """Runs a stream of requests over what is there; the table of those executed, each once."""
+    once = executed_once(requests, keys, ts, kept)
+    q = once.writeStream.foreachBatch(into_batches(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return requests.sparkSession.read.schema(once.schema).parquet(path)
