@@ -9,7 +9,7 @@ from stewardry.llm import dataset_queries, pii, secrets
 from stewardry.llm.decontaminate import benchmark_hits
 from stewardry.llm.exact_dedup import exact_dedup
 from stewardry.llm.jaccard import near_duplicates
-from stewardry.llm.mixing import mixing_rates, quality_domains
+from stewardry.llm.mixing import MIX, mixing_rates, quality_domains
 from stewardry.llm.suffix_array import remove_repeated_bytes
 from stewardry.llm.suffix_tree import remove_repeated_words
 from stewardry.llm.toxicity import toxicity_scores
@@ -25,10 +25,6 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: Weights of the quality domains in the mix.
-MIX = {"high": 0.85, "low": 0.13, "toxic": 0.02}
-
-
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return mixing_rates(table(spark, sf_dir, "documents"), quality_domains(table(spark, sf_dir, "labels")), MIX)
