@@ -25,6 +25,8 @@ SAMPLE_PER_DOMAIN = 1500
 MIX = {"high": 0.85, "low": 0.13, "toxic": 0.02}
 #: Shares that are met to this are met; steps taken at most before that is told as an error.
 TOLERANCE, STEPS = 1e-6, 200
+#: Where targets can't be met: so many steps in a row that each take off less than so much of the squared distance end the fit.
+SLOW, SLOWLY = 4, 2e-4
 
 
 def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -137,9 +139,10 @@ def rate(p: Column, steps: Sequence[np.ndarray]) -> Column:
 def fitted_steps(placed: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, shares) of placed (n, p): shares of all tokens, by which the sum of squared distances from the targets is least.
 
-    A step goes along the residual, scaled by the inverse of the second moments of the posteriors of those documents whose rate can move; where that
-    brings the sum no further down, along the residual itself. It ends when the targets are met, or where no step along the
-    gradient leads down any more: then the shares are the nearest that these documents have. An error if STEPS don't suffice.
+    A step goes along the residual, scaled by the inverse of the second moments of the posteriors of those documents whose rate can
+    move, or along the residual itself; one aggregate looks at several lengths of both, and the best is taken. It ends when the targets
+    are met; or, as these documents can't meet them, when SLOW steps in a row have each taken off less than SLOWLY of the sum: then
+    the shares are the nearest to that measure. An error if STEPS don't suffice for either.
     """
     k = len(targets)
     total = placed.agg(F.sum("n").alias("n")).first().n or 0
@@ -147,28 +150,36 @@ def fitted_steps(placed: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarra
         return [], np.zeros(k)
     p = [F.get("p", F.lit(i)) for i in range(k)]
 
-    def looked(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows = placed.select("n", "p", rate(F.col("p"), steps).alias("r"))
+    def looked(steps: list[np.ndarray], tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(shares, moments) after the steps and each of the tries."""
         w = F.col("n") / float(total)
-        free = F.when(F.col("r") > 0, w).otherwise(0.0)
-        sums = rows.agg(*[F.sum(w * F.col("r") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        return np.array([sums[f"s{i}"] for i in range(k)]), np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        rows = placed.select("n", "p", rate(F.col("p"), steps).alias("r"))
+        sums = []
+        for t, v in enumerate(tries):
+            r = F.greatest(F.lit(0.0), F.col("r") - sum((p[i] * float(v[i]) for i in range(1, k)), p[0] * float(v[0])))
+            free = F.when(r > 0, w).otherwise(0.0)
+            sums += [F.sum(w * r * p[i]).alias(f"s{t}_{i}") for i in range(k)] + [F.sum(free * p[i] * p[j]).alias(f"g{t}_{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = rows.agg(*sums).first()
+        return [(np.array([got[f"s{t}_{i}"] for i in range(k)]), np.array([[got[f"g{t}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])) for t in range(len(tries))]
 
     steps: list[np.ndarray] = []
-    shares, moments = looked(steps)
-    scale, plain = 1.0, 1.0
+    (shares, moments), slow = looked(steps, [np.zeros(k)])[0], 0
     for _ in range(STEPS):
         e = shares - targets
         if np.abs(e).max() <= TOLERANCE:
             return steps, shares
-        along = np.linalg.solve(moments + 1e-9 * np.trace(moments) * np.eye(k) + 1e-15 * np.eye(k), e)
-        tries = [(along * scale, "scaled"), (along * scale / 4, "scaled"), (e / max(np.linalg.eigvalsh(moments)[-1], 1e-3) * plain, "plain"), (e * plain * 1e-2, "plain")]
-        for v, kind in tries:
-            new, of_new = looked([*steps, v])
-            if ((new - targets) ** 2).sum() < (e**2).sum() * (1 - 1e-9):
-                steps, shares, moments = [*steps, v], new, of_new
-                break
-        else:
+        along = np.linalg.solve(moments + (1e-9 * np.trace(moments) + 1e-15) * np.eye(k), e)
+        plain = e / max(np.linalg.eigvalsh(moments)[-1], 1e-3)
+        tries = [along, along / 4, along * 4, *(plain * 16.0**x for x in range(6))]
+        if steps:  # momentum: the last step again, and more of it
+            tries += [plain + steps[-1], steps[-1], steps[-1] * 4]
+        found = looked(steps, tries)
+        best = min(range(len(tries)), key=lambda t: ((found[t][0] - targets) ** 2).sum())
+        gain = 1 - ((found[best][0] - targets) ** 2).sum() / (e**2).sum()
+        if gain > 0:
+            steps, (shares, moments) = [*steps, tries[best]], found[best]
+        slow = slow + 1 if gain < SLOWLY else 0
+        if slow >= SLOW or gain <= 0:
             return steps, shares
     raise RuntimeError(f"after {STEPS} steps the shares are still {np.abs(shares - targets).max():.2g} away from the targets")
 
