@@ -1,7 +1,7 @@
 """Jaccard self-join of shingle sets by set-relation skipping.
 
 Texts of one set are one. Sets that may be alike meet by bands of minima of many hash functions, so many that a pair at the
-threshold is missed with a probability below e^-30; what is connected is a family. Within a family the join is exact: index lists
+threshold is missed with a probability below e^-25; what is connected is a family. Within a family the join is exact: index lists
 are cut into blocks that are skipped by their sets' sizes and the tokens' positions, and a set that is much like the one
 before derives its overlaps from that one's, looking only at the lists of the tokens in which they differ.
 """
@@ -21,7 +21,7 @@ from stewardry.llm.components import components
 from stewardry.llm.tables import bitmap, bits_for, in_bitmap, kept_rows, text_key, written
 
 #: Minima of a band; bands follow from the threshold and MISS, the exponent of a missed pair's probability.
-ROWS, MISS = 8, 30
+ROWS, MISS = 6, 25
 #: Sets of a family's block; a larger family is joined block by block.
 BLOCK_SETS = 4096
 #: Entries of a list's block, which is skipped as a whole.
@@ -222,12 +222,15 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     kind = rows.schema["row"].dataType.simpleString()
     base = written(rows.mapInArrow(_described(shingle, bands(similar)), f"row {kind}, n long, set binary, keys array<long>"))
     members = written(base.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.first("n").alias("n")))
-    keys = base.where("set is not null").select("set", F.explode("keys").alias("key")).distinct()
-    shared = written(keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most").select("key", "least"))
-    stars = keys.join(shared, "key").where("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v")).distinct()
-    families = written(components(stars).select(F.col("v").alias("set"), F.col("c").alias("family")))
+    # keys are shuffled once, beside 64 bits of their set; those of one set only are the most, and go no further
+    keys = base.where("set is not null").select(F.xxhash64("set").alias("s"), F.explode("keys").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).where("least <> most").select("key", "least"))
+    spots = bits_for(shared.count())
+    met = keys.where(in_bitmap(F.col("key"), bitmap(shared.select("key"), spots), spots))
+    stars = met.join(shared, "key").where("s <> least").select(F.col("s").alias("u"), F.col("least").alias("v")).distinct()
+    families = written(components(stars).select(F.col("v").alias("s"), F.col("c").alias("family")))
     # the text of one row of each set that has a family
-    picked = written(families.join(members, "set").select("set", "family", "copies", "first", "n"))
+    picked = written(families.join(members.withColumn("s", F.xxhash64("set")), "s").select("set", "family", "copies", "first", "n"))
     bits = bits_for(picked.count())
     near = rows.where(in_bitmap(F.xxhash64("row.id", "row.h"), bitmap(picked.select(F.xxhash64("first.id", "first.h").alias("k")), bits), bits))
     sizes = picked.groupBy("family").agg(F.count("*").alias("sets"))
