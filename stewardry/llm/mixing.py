@@ -164,13 +164,15 @@ def fitted_steps(placed: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarra
 
     steps: list[np.ndarray] = []
     (shares, moments), slow = looked(steps, [np.zeros(k)])[0], 0
+    # with every rate free: a step along the residual by its inverse always leads down, if anything does
+    most = max(np.linalg.eigvalsh(moments)[-1], 1e-12)
     for _ in range(STEPS):
         e = shares - targets
         if np.abs(e).max() <= TOLERANCE:
             return steps, shares
         along = np.linalg.solve(moments + (1e-9 * np.trace(moments) + 1e-15) * np.eye(k), e)
-        plain = e / max(np.linalg.eigvalsh(moments)[-1], 1e-3)
-        tries = [along, along / 4, along * 4, *(plain * 16.0**x for x in range(6))]
+        plain = e / most
+        tries = [along * 4.0**x for x in range(-4, 2)] + [plain * 8.0**x for x in range(8)]
         if steps:  # momentum: the last step again, and more of it
             tries += [plain + steps[-1], steps[-1], steps[-1] * 4]
         found = looked(steps, tries)
@@ -207,5 +209,6 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: Mapping[str, floa
     out = rows.mapInArrow(_placed(model), f"row {rows.schema['row'].dataType.simpleString()}, n long, p array<double>")
     shown = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(names)]
     away = float(np.abs(shares - aims).max()) if len(steps) or shares.sum() else 0.0
-    return out.select(F.col("row.id").alias(id_col), *[F.col(f"row.k{j}").alias(c) for j, c in enumerate(kept)], F.col("n").alias("n_tokens"), *shown, rate(F.col("p"), steps).alias("rate"), F.lit(away).alias("distance"))
-
+    # told before any column of the documents gets its name back
+    told = out.select("row", F.col("n").alias("n_tokens"), *shown, rate(F.col("p"), steps).alias("rate"))
+    return told.select(F.col("row.id").alias(id_col), *[F.col(f"row.k{j}").alias(c) for j, c in enumerate(kept)], "n_tokens", *[f"p_{d}" for d in names], "rate", F.lit(away).alias("distance"))
