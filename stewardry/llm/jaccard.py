@@ -249,7 +249,7 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     firsts = met.groupBy("group").agg(F.min("first").alias("head"))
     by_set = met.join(firsts, "group").select("set", (F.col("links") + F.col("copies") - 1).alias("n_links"), "head")
     out = base.select("row", F.col("n").alias("n_shingles"), F.col("set").alias("s")).join(by_set, F.col("s") == F.col("set"), "left")
-    return out.select("row.id", "row.h", "n_shingles", F.coalesce("head.id", "row.id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("first"))
+    return out.select("row.id", "row.h", "n_shingles", F.when(F.col("head").isNull(), F.col("row.id")).otherwise(F.col("head.id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, similar: int = 85) -> DataFrame:

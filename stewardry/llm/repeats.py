@@ -231,7 +231,7 @@ def repeated_ranges(rows: DataFrame, u: Units) -> DataFrame:
     hashes = rows.select(F.col("row.id").alias("id"), "text").mapInArrow(lambda b, f=_hashes(u): _batched(f(b)), "a long, id long")
     shared = _shared_map(hashes, spark)
     met = written(rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary").withColumn("c", F.xxhash64("a", "nl", "nr", "ctx")))
-    contexts = written(met.groupBy("a", "nl", "nr", "ctx", "c").agg(F.min("row.id").alias("least"), F.max("row.id").alias("most")))
+    contexts = written(met.groupBy("a", "nl", "nr", "ctx", "c").agg(F.coalesce(F.min("row.id"), F.lit(2**63 - 1)).alias("least"), F.coalesce(F.max("row.id"), F.lit(-(2**63 - 1))).alias("most")))
     counted = contexts.groupBy("a").agg(F.count("*").alias("n"), F.min("least").alias("x"), F.max("most").alias("y")).where("x < y")
     counted = written(counted.select(F.col("a").alias("k"), "n"))
     true = contexts.join(counted, F.col("a") == F.col("k"))

@@ -151,10 +151,14 @@ class Formats:
         self.kinds = {}
         for kind, words in labelled.items():
             if words:
-                made = Automaton(codes(words))
-                self.kinds[kind] = (made, 0.0)
-                own = self.advantage(kind, *_joined(words))
-                self.kinds[kind] = (made, max(0.0, float(np.quantile(own, QUANTILE))))
+                # the threshold is of words that the automaton scoring them hasn't seen
+                own = [self._beyond(Automaton(codes(words[1 - k :: 2])), words[k::2]) for k in (0, 1) if words[1 - k :: 2] and words[k::2]]
+                least = float(np.quantile(np.concatenate(own), QUANTILE)) if own else np.inf
+                self.kinds[kind] = (Automaton(codes(words)), max(0.0, least))
+
+    def _beyond(self, automaton: Automaton, words: list[bytes]) -> np.ndarray:
+        data, starts, ends = _joined(words)
+        return automaton.scores(data, starts, ends) - self.ordinary.scores(data, starts, ends)
 
     def advantage(self, kind: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.kinds[kind][0].scores(data, starts, ends) - self.ordinary.scores(data, starts, ends)
