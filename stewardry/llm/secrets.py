@@ -147,7 +147,8 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[bytes]], ordinary: list[bytes]):
         codes = lambda words: [_class[np.frombuffer(w, np.uint8)].tolist() for w in words]
-        self.ordinary = Automaton(codes(ordinary))
+        # in halves, of which the less likely one counts: a credential among the ordinary runs speaks in one of them only
+        self.ordinary = [Automaton(codes(ordinary[k::2])) for k in (0, 1)]
         self.kinds = {}
         for kind, words in labelled.items():
             if words:
@@ -158,10 +159,13 @@ class Formats:
 
     def _beyond(self, automaton: Automaton, words: list[bytes]) -> np.ndarray:
         data, starts, ends = _joined(words)
-        return automaton.scores(data, starts, ends) - self.ordinary.scores(data, starts, ends)
+        return automaton.scores(data, starts, ends) - self._usual(data, starts, ends)
+
+    def _usual(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.minimum(*(a.scores(data, starts, ends) for a in self.ordinary))
 
     def advantage(self, kind: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.kinds[kind][0].scores(data, starts, ends) - self.ordinary.scores(data, starts, ends)
+        return self.kinds[kind][0].scores(data, starts, ends) - self._usual(data, starts, ends)
 
     def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether a run has the format of any kind."""
@@ -264,11 +268,14 @@ def _scanned(formats: Formats | None) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def _ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, run): the longer runs of rows (k, text) that no base span covers, as often as they occur."""
     for b in batches:
+        keys, at = b.column("k").to_numpy(), 0
         for texts in _groups(b.column("text")):
             spans, (data, row, s, e) = found(texts)
             keep = _uncovered(spans, texts, row, s, e)
-            yield pa.RecordBatch.from_arrays([pa.array([data[x:y].tobytes() for x, y in zip(s[keep], e[keep], strict=True)], pa.binary())], names=["run"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at + row[keep]]), pa.array([data[x:y].tobytes() for x, y in zip(s[keep], e[keep], strict=True)], pa.binary())], names=["k", "run"])
+            at += len(texts)
 
 
 def learned(rows: DataFrame) -> Formats:
@@ -287,8 +294,8 @@ def learned(rows: DataFrame) -> Formats:
         labelled[r.s.kind].append(v.encode())
     held = rows.select("text", F.xxhash64("row").alias("k")).where("text is not null")
     least = [r.k for r in held.select("k").distinct().orderBy("k").limit(ORDINARY_ROWS).collect()]
-    some = held.where(F.col("k") <= least[-1]).dropDuplicates(["k"]).select("text").mapInArrow(_ordinary, "run binary") if least else None
-    plain = [bytes(r.run) for r in some.distinct().orderBy(F.xxhash64("run"), "run").limit(ORDINARY).collect()] if least else []
+    some = held.where(F.col("k") <= least[-1]).dropDuplicates(["k"]).select("k", "text").mapInArrow(_ordinary, "k long, run binary") if least else None
+    plain = [bytes(r.run) for r in some.orderBy(F.xxhash64("k", "run"), "run").limit(ORDINARY).collect()] if least else []
     return Formats(labelled, plain)
 
 
