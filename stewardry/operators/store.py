@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from stewardry.functions.seal import blind_index
 from stewardry.functions.transforms import broken_rules, preset
@@ -103,7 +103,9 @@ def governed_write(store: Store, requests: DataFrame, fields: Sequence[str], tol
     seen = store.version()
     filled = requests.withColumns({f: preset(F.col(f), value, when, actor) for f, (value, when) in told.presets.items()})
     judged = filled.withColumn("errors", broken_rules(told.rules))
-    stored = {f: blind_index(told.key, told.org, f, F.col(f), told.sealed[f]) if f in told.sealed else F.col(f).cast("string") for f in fields}
+    # both zeros are one value, so they are one text
+    plain = {f: F.col(f) + F.lit(0.0).cast(filled.schema[f].dataType) if isinstance(filled.schema[f].dataType, (FloatType, DoubleType)) else F.col(f) for f in fields}
+    stored = {f: blind_index(told.key, told.org, f, plain[f], told.sealed[f]) if f in told.sealed else plain[f].cast("string") for f in fields}
     rows = judged.select(F.col("id").cast("string").alias("id"), F.col("expected").cast("long").alias("expected"), "errors", F.create_map(*[x for f, c in stored.items() for x in (F.lit(f), c)]).alias("fields"))
     counted = rows.join(rows.groupBy("id").agg(F.count("*").alias("asked")), "id")
     held = current(store).select("id", F.col("version").alias("held"), F.col("fields").alias("before"))
