@@ -134,13 +134,27 @@ def identity_outcomes(incoming: DataFrame, links: DataFrame, people: DataFrame)
     linked: the source id has a link already, or there is one candidate and it is sure; created: there is none; else review.
     Candidates: links (source_id, record) by registry id, of confidence 1.0, and people (record, email) by equal address, of 0.9.
     """
-    by_link = incoming.join(links.select(F.col("source_id").alias("__l"), "record"), F.col("source_id") == F.col("__l")).select("source_id", "record")
     norm = lambda c: F.lower(F.trim(c))
-    registry = incoming.join(links.select(F.col("source_id").alias("__l"), "record"), F.col("registry_id") == F.col("__l")).select("source_id", "record", F.lit(CONFIDENCE["registry"]).alias("confidence"))
-    mail = incoming.select("source_id", norm(F.col("email")).alias("__m")).where("__m <> ''").join(people.select(norm(F.col("email")).alias("__p"), "record"), F.col("__m") == F.col("__p")).select("source_id", "record", F.lit(CONFIDENCE["email"]).alias("confidence"))
-    each = registry.unionByName(mail).groupBy("source_id", "record").agg(F.max("confidence").alias("confidence"))
-    # number and best: bounded however many candidates share an address
-    found = each.groupBy("source_id").agg(F.count("*").alias("candidates"), F.max_by(F.struct("record", "confidence"), F.struct("confidence", "record")).alias("best"))
+    linking = links.select(F.col("source_id").alias("__l"), "record")
+    by_link = incoming.join(linking, F.col("source_id") == F.col("__l")).select("source_id", "record")
+    registry = incoming.join(linking, F.col("registry_id") == F.col("__l")).select("source_id", "record").distinct()
+    asked = incoming.select("source_id", norm(F.col("email")).alias("__m")).where("__m <> ''").distinct()
+    known = people.select(norm(F.col("email")).alias("__p"), F.col("record").alias("__r")).where("__p <> ''").distinct()
+    # an address stands for all of its people: they are counted once for it, not once for each source that has it
+    of = known.groupBy("__p").agg(F.count("*").alias("n"), F.max("__r").alias("most"))
+    mail = asked.join(of, F.col("__m") == F.col("__p")).groupBy("source_id").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    # what that counts twice: people of several addresses, for sources of several, and those whom the registry names as well
+    many = asked.join(asked.groupBy("source_id").agg(F.count("*").alias("__k")).where("__k > 1").select("source_id"), "source_id")
+    known_by = known.groupBy("__r").agg(F.count("*").alias("__k")).where("__k > 1").select(F.col("__r").alias("__s"))
+    several = known.join(known_by, F.col("__r").eqNullSafe(F.col("__s")), "left_semi")
+    again = many.join(several, F.col("__m") == F.col("__p")).groupBy("source_id", "__r").agg((F.count("*") - 1).alias("n")).groupBy("source_id").agg(F.sum("n").alias("twice"))
+    named = registry.join(asked, "source_id").join(known, (F.col("__m") == F.col("__p")) & F.col("record").eqNullSafe(F.col("__r")), "left_semi").select("source_id", "record").distinct()
+    sure_of = registry.groupBy("source_id").agg(F.count("*").alias("rn"), F.max("record").alias("rmost"))
+    both = named.groupBy("source_id").agg(F.count("*").alias("shared"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    found = sure_of.join(mail, "source_id", "full").join(again, "source_id", "left").join(both, "source_id", "left")
+    best = F.when(F.col("rn").isNotNull(), F.struct(F.col("rmost").alias("record"), F.lit(CONFIDENCE["registry"]).alias("confidence"))).otherwise(F.struct(F.col("most").alias("record"), F.lit(CONFIDENCE["email"]).alias("confidence")))
+    found = found.select("source_id", (zero("rn") + zero("n") - zero("twice") - zero("shared")).alias("candidates"), best.alias("best"))
     linked = by_link.groupBy(F.col("source_id").alias("__s")).agg(F.min("record").alias("__linked"))
     met = incoming.select("source_id").distinct().join(found, "source_id", "left").join(linked, F.col("source_id") == F.col("__s"), "left")
     n, sure = F.coalesce("candidates", F.lit(0)), F.col("best.confidence") >= SURE

@@ -156,9 +156,9 @@ def identity_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One in ten is linked already, one in ten has a sure candidate in the registry, and half of all addresses are of people known."""
     c = table(spark, sf_dir, "customer")
     mail = F.concat(F.lit("m"), F.col("c_custkey") % 400, F.lit("@x.org"))
-    incoming = c.select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") + 1_000_000).alias("registry_id"), F.concat(F.lit(" "), F.upper(mail)).alias("email"))
+    incoming = c.select(F.col("c_custkey").alias("source_id"), (-1 - F.col("c_custkey")).alias("registry_id"), F.concat(F.lit(" "), F.upper(mail)).alias("email"))
     linked = c.where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("source_id"), F.concat(F.lit("r"), F.col("c_custkey")).alias("record"))
-    registry = c.where("c_custkey % 10 = 5").select((F.col("c_custkey") + 1_000_000).alias("source_id"), F.concat(F.lit("r"), F.col("c_custkey") + 5_000_000).alias("record"))
+    registry = c.where("c_custkey % 10 = 5").select((-1 - F.col("c_custkey")).alias("source_id"), F.concat(F.lit("g"), F.col("c_custkey")).alias("record"))
     people = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("r"), F.col("c_custkey")).alias("record"), mail.alias("email"))
     return I.identity_outcomes(incoming, linked.unionByName(registry), people).select("source_id", "outcome", "candidates")
 
