@@ -163,11 +163,13 @@ def identity_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.identity_outcomes(incoming, linked.unionByName(registry), people).select("source_id", "outcome", "candidates")
 
 
-@query(f"""with people as ({_PEOPLE} where c_custkey % 2 = 0), mail as (select distinct email from people),
-o as (select case when c_custkey % 10 = 3 then 'linked' when c_custkey % 10 = 5 and m.email is null then 'linked' when c_custkey % 10 <> 5 and m.email is null then 'created' else 'review' end as outcome from customer c left join mail m on m.email = 'm' || c_custkey % 400 || '@x.org')
-select outcome, count(*) as n from o group by 1""")
+@query(f"""with people as ({_PEOPLE} where c_custkey % 2 = 0), mail as (select email, count(*) as n from people group by 1),
+o as (select case when c_custkey % 10 = 3 then 'linked' when c_custkey % 10 = 5 and coalesce(n, 0) = 0 then 'linked' when c_custkey % 10 <> 5 and coalesce(n, 0) = 0 then 'created' else 'review' end as outcome, case when c_custkey % 10 = 5 then 1 else 0 end + coalesce(n, 0) as candidates
+  from customer c left join mail on email = 'm' || c_custkey % 400 || '@x.org')
+select outcome, count(*) as n, cast(sum(candidates) as bigint) as candidates from o group by 1""")
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity_outcomes(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+    """Outcomes with the candidates that were weighed for them: every person of an address counts."""
+    return identity_outcomes(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("candidates").alias("candidates"))
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
