@@ -190,12 +190,8 @@ class _Plan:
         return column.alias(path)
 
 
-def governed_read(catalog: Catalog, slug: str, ctx: Context, select: Sequence[str], where: Sequence[Filter] = (), order: Sequence[Order] = (), limit: int | None = None) -> DataFrame:
-    """The rows that a caller may see, with the fields asked for, and __id.
-
-    Fields hidden from the role are left out; if all are, the request is refused, as it is if it filters or sorts by one.
-    Without an order the newest come first; nulls sort as larger than anything. limit: 250 if none, 1 to 1000.
-    """
+def _governed(catalog: Catalog, slug: str, ctx: Context, select: Sequence[str], where: Sequence[Filter], order: Sequence[Order]) -> tuple[DataFrame, list[Column], list[Column]]:
+    """(the rows that a caller may see, what they are sorted by, what is shown of them)."""
     if not select:
         raise Refused("a request names its fields")
     plan = _Plan(catalog, slug, ctx)
@@ -218,8 +214,23 @@ def governed_read(catalog: Catalog, slug: str, ctx: Context, select: Sequence[st
     shown = [plan.shown(p) for p in chosen]
     if "__id" not in chosen:
         shown.append(F.col("b__id").alias("__id"))
-    rows = plan.frame.orderBy(*(keys or [F.col("b__created_at").desc_nulls_first()]), "b__id")
-    return rows.limit(max(1, min(MOST_ROWS, DEFAULT_ROWS if limit is None else limit))).select(*shown)
+    return plan.frame, [*(keys or [F.col("b__created_at").desc_nulls_first()]), F.col("b__id")], shown
+
+
+def governed_read(catalog: Catalog, slug: str, ctx: Context, select: Sequence[str], where: Sequence[Filter] = (), order: Sequence[Order] = (), limit: int | None = None) -> DataFrame:
+    """The rows that a caller may see, with the fields asked for, and __id.
+
+    Fields hidden from the role are left out; if all are, the request is refused, as it is if it filters or sorts by one.
+    Without an order the newest come first; nulls sort as larger than anything. limit: 250 if none, 1 to 1000.
+    """
+    rows, keys, shown = _governed(catalog, slug, ctx, select, where, order)
+    return rows.orderBy(*keys).limit(max(1, min(MOST_ROWS, DEFAULT_ROWS if limit is None else limit))).select(*shown)
+
+
+def governed_rows(catalog: Catalog, slug: str, ctx: Context, select: Sequence[str], where: Sequence[Filter] = ()) -> DataFrame:
+    """As governed_read, all rows at once and in no order: for jobs over a whole object."""
+    rows, _, shown = _governed(catalog, slug, ctx, select, where, ())
+    return rows.select(*shown)
 
 
 def visible_ids(catalog: Catalog, slug: str, ctx: Context) -> DataFrame:
