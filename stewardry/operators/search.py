@@ -56,14 +56,16 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
     return got
 
 
-def lexical_search(index: DataFrame, query: str, scope: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """(id, score, snippet) of rows that have every word of the query; score: their share of the row's words. scope: ids (__id) the caller may see."""
+def lexical_search(index: DataFrame, query: str, scope: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
+    """(id, score, snippet) of rows that have every word of the query; score: their share of the row's words. scope: ids (__id) the caller may see. limit: 1 to 100, or None for all hits, in no order."""
     wanted = query_terms(index.sparkSession, query)
     rows = index if scope is None else index.join(scope, index["id"] == scope["__id"], "left_semi")
     for t in wanted:
         rows = rows.where(F.array_contains("terms", t))
     hits = F.size(F.filter("terms", lambda w: w.isin(wanted)))
-    ranked = rows.select("id", (hits / F.size("terms")).alias("score"), "text").orderBy(F.desc("score"), "id").limit(max(1, min(100, limit)))
+    ranked = rows.select("id", (hits / F.size("terms")).alias("score"), "text")
+    if limit is not None:
+        ranked = ranked.orderBy(F.desc("score"), "id").limit(max(1, min(100, limit)))
     return ranked.select("id", "score", snippet(F.col("text"), wanted).alias("snippet"))
 
 
