@@ -45,8 +45,19 @@ def guarded(rows: DataFrame, storage_class: str = "storage_class") -> DataFrame:
 def index_rows(rows: DataFrame, id_col: str, text_col: str, order: str | None = None) -> DataFrame:
     """(id, text, terms), one row a record: the last by `order`, without it the one of the largest text."""
     told = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(order) if order else F.lit(0)).alias("o"))
-    last = told.groupBy("id").agg(F.max_by("text", F.struct("o", "text")).alias("text"))
-    return last.select("id", "text", terms(F.col("text")).alias("terms"))
+    # a text is sent once, beside its id; that also deals the work on its words to all tasks, however the rows were filed
+    last = told.groupBy("id").agg(F.max(F.struct("o", "text")).alias("last"))
+    return last.select("id", "last.text", terms(F.col("last.text")).alias("terms"))
+
+
+def counted(words: Column) -> Column:
+    """(term, tf) of an array of terms: the runs of the sorted array."""
+    n, s = F.size(words), F.sort_array(words)
+    begins = lambda s: F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get(s, k) != F.get(s, k - 1)))
+    runs = lambda s, b: F.transform(b, lambda k, j: F.struct(F.get(s, k).alias("term"), (F.coalesce(F.get(b, j + 1), n) - k).cast("long").alias("tf")))
+    # each step once: a column that is named twice in a plan may be computed twice
+    once = F.transform(F.array(F.struct(s.alias("s"))), lambda x: F.transform(F.array(begins(x["s"])), lambda b: runs(x["s"], b)))
+    return F.when(n > 0, F.flatten(F.flatten(once))).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
@@ -89,8 +100,8 @@ def bm25_search(index: DataFrame, query: str, scope: DataFrame | None = None, li
 class Stored:
     """A stored index: segments that are only ever added, each the postings and texts of one upsert.
 
-    postings: (term, id, tf, size, segment), in files ranged by term and id, so that a query reads the files of its words and a
-    common word lies in many; documents: (id, text, size, segment); gone: (id, segment), what is dead in all earlier segments.
+    postings: (term, id, tf, size, segment), each file ordered by term, so that a query reads the pages of its words of each file, and
+    a common word lies in all; documents: (id, text, size, segment); gone: (id, segment), what is dead in all earlier segments.
     """
 
     store: Store
@@ -135,22 +146,23 @@ def _segment(stored: Stored, changed: DataFrame | None, removed: DataFrame | Non
     seen, t = store.version(), store.id_type
     n = F.lit(seen + 1).cast("long").alias("segment")
     empty = store.spark.createDataFrame([], f"id {t}, text string, terms array<string>")
-    new = written((empty if changed is None else changed).select(F.col("id").cast(t).alias("id"), "text", "terms", F.size("terms").alias("size")))
+    told = (empty if changed is None else changed).select(F.col("id").cast(t).alias("id"), "text", counted(F.col("terms")).alias("counts"), F.size("terms").alias("size"), n)
+    # texts are written once, where they stay, with their words beside them
+    put = store.put("documents", told, seen)
+    new = store.spark.read.schema(told.schema).parquet(f"{store.path}/{put}")
     if new.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("a record comes twice: index_rows gives the latest text of each")
-    ids = new.select("id") if removed is None else new.select("id").unionByName(removed.select(F.col("id").cast(t).alias("id")))
-    ids = written(ids.distinct())
-    parts = {}
-    lost = store.spark.createDataFrame([], "n long, words long")
+    parts: dict[str, DataFrame | str] = {"documents": put}
+    gained = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("words"))
     if seen:
+        ids = new.select("id") if removed is None else new.select("id").unionByName(removed.select(F.col("id").cast(t).alias("id")))
+        ids = written(ids.distinct())
         before = stored.live(stored.documents.select("id", "size", "segment")).join(ids.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left_semi")
-        lost = before.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("size"), F.lit(0))).cast("long").alias("words"))
+        gained = gained.unionByName(before.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("size"), F.lit(0))).cast("long").alias("words")))
         parts["gone"] = ids.select("id", n)
-    words = new.select("id", "size", F.explode("terms").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
-    parts["postings"] = words.select("term", "id", "tf", "size", n).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-    parts["documents"] = new.select("id", "text", "size", n).repartitionByRange("id").sortWithinPartitions("id")
-    gained = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("words"))
-    parts["totals"] = gained.unionByName(lost)
+    # a text's words are counted within it, so that no posting is shuffled
+    parts["postings"] = new.select("id", "size", F.inline("counts")).select("term", "id", "tf", "size", n).sortWithinPartitions("term", "id")
+    parts["totals"] = gained
     store.commit(parts, seen)
 
 
@@ -279,7 +291,9 @@ def cached_vectors(index: DataFrame, cache: DataFrame, model: str) -> tuple[Data
 def rerank(pool: DataFrame, vectors: DataFrame, query_vector: list[float], limit: int) -> DataFrame:
     """pool: (id, score) in lexical order; those nearest to the query first, ties as they were."""
     place = F.row_number().over(W.orderBy(F.desc("score"), "id"))  # the pool is at most 100 rows
-    ranked = pool.withColumn("place", place).join(vectors, "id", "left")
+    placed = written(pool.select("id", place.alias("place")))
+    # they go to the vectors, so that only theirs are shuffled
+    ranked = placed.join(vectors.join(F.broadcast(placed.select("id")), "id", "left_semi"), "id", "left")
     near = F.coalesce(F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query_vector])), 9), F.lit(0.0))
     return ranked.select("id", near.alias("similarity"), "place").orderBy(F.desc("similarity"), "place").limit(limit).select("id", "similarity")
 

@@ -54,12 +54,16 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def commit(self, parts: Mapping[str, DataFrame], expected: int) -> int:
-        """Appends rows to several tables, all or none, if `expected` is still the last commit."""
-        n, told = expected + 1, {}
-        for table, rows in parts.items():
-            told[table] = f"{table}/{n:012d}-{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.path}/{told[table]}")
+    def put(self, table: str, rows: DataFrame, expected: int) -> str:
+        """Writes rows of a table aside; the folder's name is a part of the commit after `expected`, and nobody sees it before."""
+        told = f"{table}/{expected + 1:012d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{told}")
+        return told
+
+    def commit(self, parts: Mapping[str, DataFrame | str], expected: int) -> int:
+        """Appends rows, or what `put` has written, to several tables, all or none, if `expected` is still the last commit."""
+        n = expected + 1
+        told = {table: rows if isinstance(rows, str) else self.put(table, rows, expected) for table, rows in parts.items()}
         name = self._hadoop.Path(f"{self.path}/_commits/{n:012d}.json")
         try:
             stream = self._fs.create(name, False)
