@@ -47,19 +47,16 @@ def connector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, user_id, value from events")
 def connector_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream is stopped after a third of the files, and goes on from the committed offset: each row comes once."""
-    folder, out, checkpoint = (fresh_dir(spark, f"restart-{x}") for x in ("in", "out", "checkpoint"))
+    landing, out, checkpoint = (fresh_dir(spark, f"restart-{x}") for x in ("files", "out", "checkpoint"))
     spark.dataSource.register(C.TableStream)
     events = table(spark, sf_dir, "events")
+    path = spark._jvm.org.apache.hadoop.fs.Path
     for k in range(3):
-        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/part={k}")
-    read_all = lambda k: spark.read.parquet(f"{folder}/part={k}")
-    landing = fresh_dir(spark, "restart-files")
-    for k in range(3):
-        # files arrive under later names
-        read_all(k).coalesce(1).write.mode("append").parquet(f"{landing}/run-{k}")
-        for f in spark._jvm.org.apache.hadoop.fs.Path(f"{landing}/run-{k}").getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{landing}/run-{k}/part-*.parquet")):
-            fs = f.getPath().getFileSystem(spark._jsc.hadoopConfiguration())
-            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{landing}/{k:06d}.parquet"))
+        # files arrive under later names, as many as their tasks have written
+        events.where(F.col("event_id") % 3 == k).write.parquet(f"{landing}/run-{k}")
+        fs = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
+        for j, name in enumerate(sorted(f.getPath().toString() for f in fs.globStatus(path(f"{landing}/run-{k}/part-*.parquet")))):
+            fs.rename(path(name), path(f"{landing}/{k:06d}-{j:06d}.parquet"))
         stream = spark.readStream.format("table_stream").option("path", landing).option("page_rows", 1000).load()
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()

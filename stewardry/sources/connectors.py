@@ -68,7 +68,7 @@ class _Rows(InputPartition):
 class TableStream(DataSource):
     """`spark.readStream.format("table_stream")`: the rows of a table's files in the order of their names, page by page.
 
-    Options: path (a folder or a file), page_rows (rows of a task). The offset is a number of rows; Spark commits it in the query's
+    Options: path (a folder or a file), page_rows (rows of a task at least: it takes whole row groups, so that each is read once). The offset is a number of rows; Spark commits it in the query's
     checkpoint, so that a query that was stopped goes on behind the last row committed. Files are only added, under later names.
     """
 
@@ -113,7 +113,12 @@ class _TableReader(DataSourceStreamReader):
         for name, file in _files(self.path):
             n = file.metadata.num_rows
             lo, hi = max(0, start["row"] - before), min(n, end["row"] - before)
-            out += [_Rows(name, k, min(k + self.page_rows, hi)) for k in range(lo, hi, self.page_rows)]
+            at = 0
+            for g in range(file.metadata.num_row_groups):
+                at += file.metadata.row_group(g).num_rows
+                if lo < min(at, hi) and (at - lo >= self.page_rows or at >= hi):
+                    out.append(_Rows(name, lo, min(at, hi)))
+                    lo = min(at, hi)
             before += n
         return out
 
@@ -124,7 +129,12 @@ class _TableReader(DataSourceStreamReader):
             n = file.metadata.row_group(g).num_rows
             lo, hi = max(partition.first - before, 0), min(partition.end - before, n)
             if lo < hi:
-                yield from file.read_row_group(g, self.columns).slice(lo, hi - lo).to_batches()
+                at = 0
+                for batch in file.iter_batches(row_groups=[g], columns=self.columns):
+                    part = batch.slice(max(lo - at, 0), max(min(hi - at, batch.num_rows) - max(lo - at, 0), 0))
+                    if part.num_rows:
+                        yield part
+                    at += batch.num_rows
             before += n
 
 
