@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stewardry.llm.tables import bitmap, bits_for, in_bitmap, kept_rows, text_key, written
+from stewardry.session import fresh_dir
 
 SPAN = 50
 #: Units of a text that are looked through at once; different contexts of an anchor that a task takes; bits of the map of shared anchors at most.
 PIECE, HOT, MOST_ANCHOR_BITS = 1 << 20, 50_000, 1 << 28
+#: Bits of an anchor's hash that tell which ones documents share, and bytes of text for each task that finds out.
+KEY_BITS, SHARD_BYTES = 40, 16 << 20
 _base, _mul = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
@@ -95,17 +98,73 @@ def _raw(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
-def _hashes(u: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(k: np.ndarray, ids: np.ndarray) -> bytes:
+    """Keys in order by what each is above the one before, and ids; byte by byte, so that bytes that hardly vary lie together."""
+    step = np.diff(k, prepend=np.uint64(0))
+    planes = [x.view(np.uint8).reshape(-1, 8).T for x in (step, ids)]
+    return pa.compress(planes[0][: KEY_BITS // 8].tobytes() + planes[1].tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = KEY_BITS // 8
+    raw = np.frombuffer(pa.decompress(packed, (size + 8) * n, "zstd", asbytes=True), np.uint8).reshape(-1, n)
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :size] = raw[:size].T
+    return np.cumsum(step.view(np.uint64)[:, 0], dtype=np.uint64), np.ascontiguousarray(raw[size:].T).view(np.int64)[:, 0]
+
+
+def _ends(k: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with its smallest and its largest id."""
+    order = np.lexsort((ids, k))
+    k, ids = k[order], ids[order]
+    edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+    return k[edges[:-1]], ids[edges[:-1]], ids[edges[1:] - 1]
+
+
+def _hashes(u: Units, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Anchors' keys with the smallest and the largest id that has them, packed by shard. Rows of a null id are told by nothing and tell nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, n = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, least, most = _ends(np.concatenate(keys), np.concatenate(ids))
+            keys.clear()
+            ids.clear()
+            twice = least < most
+            k, i = np.concatenate((k, k[twice])), np.concatenate((least, most[twice]))
+            order = np.argsort(k, kind="stable")
+            k, i = k[order], i[order]
+            shard = (k * np.uint64(shards)) >> np.uint64(KEY_BITS)
+            edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+            blobs = [_packed(k[a:z], i[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int64)), pa.array(np.diff(edges)), pa.array(blobs, pa.binary())], names=["shard", "n", "packed"])
+
         for b in batches:
-            for i, x in zip(b.column("id"), b.column("text"), strict=True):
-                found = np.unique(anchors(u.cut(_raw(x)), u.k)[1])
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), i.as_py()), pa.int64())], names=["a", "id"])
+            for i, x in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                if i is None:
+                    continue
+                found = np.unique(anchors(u.cut(_raw(x)), u.k)[1] & np.uint64((1 << KEY_BITS) - 1))
+                keys.append(found)
+                ids.append(np.full(len(found), i, np.int64))
+                n += len(found)
+                if n >= PIECE:
+                    yield flush()
+                    n = 0
+        if n:
+            yield flush()
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that different ids have, of the shards of a task."""
+    found = [_unpacked(n, p) for b in batches for n, p in zip(b.column("n").to_pylist(), b.column("packed").to_pylist(), strict=True)]
+    if found:
+        k, least, most = _ends(*map(np.concatenate, zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(k[least < most].view(np.int64))], names=["a"])
+
+
 def _batched(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Small batches put together."""
     held, n = [], 0
@@ -213,11 +272,11 @@ def _windows(contexts: DataFrame, u: Units) -> DataFrame:
     return met.select("c", F.transform(F.sequence(F.lit(0), F.lit(u.most_left)), lambda l: F.coalesce(F.try_element_at("m", l), none)).alias("firsts"))
 
 
-def _shared_map(hashes: DataFrame, spark) -> object:
+def _shared_map(keys: DataFrame, spark) -> object:
     """The anchors that documents of different ids have, as bits of their hashes; broadcast, of MOST_ANCHOR_BITS at most. A false one costs a context."""
-    keys = written(hashes.groupBy("a").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("a"))
+    keys = written(keys)
     n = keys.count()
-    bits = min(MOST_ANCHOR_BITS, max(1 << 16, 1 << (8 * n).bit_length()))
+    bits = min(MOST_ANCHOR_BITS, max(1 << 16, 1 << (32 * n).bit_length()))
     spots = keys.select(F.pmod("a", F.lit(bits)).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 3).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(spot % 8 as int))")).cast("int").alias("b")).toArrow()
     held = np.zeros(bits // 8, np.uint8)
@@ -225,21 +284,30 @@ def _shared_map(hashes: DataFrame, spark) -> object:
     return spark.sparkContext.broadcast(held)
 
 
-def repeated_ranges(rows: DataFrame, u: Units) -> DataFrame:
+def closely_written(df: DataFrame) -> DataFrame:
+    """As `written`, by Zstandard: contexts that lie beside one another have most of their units in common."""
+    path = fresh_dir(df.sparkSession, "stewardry")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def repeated_ranges(rows: DataFrame, u: Units, size: int | None = None) -> DataFrame:
     """(row, ranges: starts and ends in turn, in units, apart and in order) of rows (row: id and h, text) of different texts: what windows cover that also start under a smaller id."""
     spark, kind = rows.sparkSession, rows.schema["row"].dataType.simpleString()
-    hashes = rows.select(F.col("row.id").alias("id"), "text").mapInArrow(lambda b, f=_hashes(u): _batched(f(b)), "a long, id long")
-    shared = _shared_map(hashes, spark)
-    met = written(rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary").withColumn("c", F.xxhash64("a", "nl", "nr", "ctx")))
-    contexts = written(met.groupBy("a", "nl", "nr", "ctx", "c").agg(F.coalesce(F.min("row.id"), F.lit(2**63 - 1)).alias("least"), F.coalesce(F.max("row.id"), F.lit(-(2**63 - 1))).alias("most")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n if size is None else size
+    shards = max(32, int(size) // SHARD_BYTES)
+    hashes = rows.select(F.col("row.id").alias("id"), "text").mapInArrow(_hashes(u, shards), "shard long, n long, packed binary")
+    shared = _shared_map(hashes.repartition(shards, "shard").mapInArrow(_shared, "a long"), spark)
+    met = closely_written(rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary").withColumn("c", F.xxhash64("a", "nl", "nr", "ctx")))
+    contexts = closely_written(met.groupBy("a", "nl", "nr", "ctx", "c").agg(F.coalesce(F.min("row.id"), F.lit(2**63 - 1)).alias("least"), F.coalesce(F.max("row.id"), F.lit(-(2**63 - 1))).alias("most")))
     counted = contexts.groupBy("a").agg(F.count("*").alias("n"), F.min("least").alias("x"), F.max("most").alias("y")).where("x < y")
     counted = written(counted.select(F.col("a").alias("k"), "n"))
     true = contexts.join(counted, F.col("a") == F.col("k"))
     small = true.where(F.col("n") <= HOT).select("a", "c", "nl", "nr", "ctx", "least", "most").repartition("a")
     told = small.mapInArrow(_resolved(u), "c long, firsts array<long>")
-    hot = true.where(F.col("n") > HOT)
-    if hot.limit(1).count():
-        told = told.unionByName(_windows(hot, u))
+    # asked of the counts, as contexts would be shuffled once more to tell
+    if counted.where(F.col("n") > HOT).limit(1).count():
+        told = told.unionByName(_windows(true.where(F.col("n") > HOT), u))
     found = met.select("row", "pos", "c").join(told, "c")
     # windows of one anchor lie side by side: their range is told by the first and the last of each stretch
     each = F.filter(F.transform("firsts", lambda f, l: F.when(f < F.col("row.id"), F.col("pos") - l)), lambda s: s.isNotNull())
@@ -270,7 +338,8 @@ def remove_repeats(docs: DataFrame, u: Units, cut: Callable[[bytes, list[tuple[i
     alike = written(digests.join(firsts_of, "d").select("row", (F.col("row") == F.col("first")).alias("kept")))
     decided = digests.join(alike.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("row.id", "row.h", F.coalesce("kept", F.lit(True)).alias("kept"))
     own = kept_rows(rows.select("id", "text"), decided, "id", "text").select(F.struct(F.col("id"), text_key(F.col("text")).alias("h")).alias("row"), "text")
-    ranges = written(repeated_ranges(own, u))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first().n
+    ranges = written(repeated_ranges(own, u, size))
     # a later copy has what the first one has, and all of its own besides: it is one range
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(2**62).cast("long").alias("z")))
     # rows alike under one id have the first one's ranges
