@@ -2,18 +2,19 @@
 
 A softmax classifier of words, fitted on a bounded sample of labelled rows, tells how much of each document belongs to each
 domain. Rates begin at 1 and take projected steps, max(0, rate - posterior · v), until the expected shares of tokens meet the
-targets. A step is K numbers, found from one aggregate of K (K + 3) / 2 sums over all documents; a rate is what all steps
-so far make of 1, so nothing but the posteriors is ever stored.
+targets. A step is K numbers, found from one pass that adds up K (K + 1) numbers of all documents in each task; a rate is what all steps
+so far make of 1, so nothing but the posteriors is ever stored beside the rows, which are looked at by the classifier once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stewardry.llm.tables import bitmap, bits_for, in_bitmap, written
@@ -116,13 +117,18 @@ def classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id", text
     bits = bits_for(marks.count())
     # only ids, and no texts, meet the labels; the sample's texts are fetched when it has been picked
     ids = docs.select(F.col(id_col).alias("id")).where(in_bitmap(F.xxhash64("id"), bitmap(marks.select(F.xxhash64("lid").alias("k")), bits), bits)).distinct()
-    place = F.row_number().over(W.partitionBy("domain").orderBy(F.xxhash64("id"), "id"))
-    picked = written(ids.join(marks, F.col("id") == F.col("lid")).withColumn("place", place).where(F.col("place") <= SAMPLE_PER_DOMAIN).select("id", "domain"))
+    met = written(ids.join(marks, F.col("id") == F.col("lid")).select("id", "domain"))
+    # each task tells its first ones of a domain: no task holds a domain
+    each = [met.where(F.col("domain") == d).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_DOMAIN) for d in names]
+    picked = written(reduce(DataFrame.unionAll, each, met.where("false")))
     # at most SAMPLE_PER_DOMAIN ids of each domain
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed("id", "pid")), F.col("id") == F.col("pid"))
     once = rows.groupBy("id", "domain").agg(F.min("text").alias("text"))
     sample = once.select("domain", "text").mapInArrow(_sampled, "domain string, words array<long>, value array<double>").toArrow()
-    found = [(d, np.array(w, np.int64).view(np.uint64), np.array(v)) for d, w, v in zip(*(sample.column(c).to_pylist() for c in ("domain", "words", "value")), strict=True)]
+    sample = sample.combine_chunks()
+    words, value = (pa.concat_arrays([x.flatten() for x in sample.column(c).chunks]).to_numpy() if len(sample) else np.zeros(0) for c in ("words", "value"))
+    edges = np.cumsum([0, *pc.list_value_length(sample.column("words")).to_pylist()])
+    found = [(d, words[a:z].view(np.uint64), value[a:z]) for d, a, z in zip(sample.column("domain").to_pylist(), edges[:-1], edges[1:], strict=True)]
     found.sort(key=lambda r: (r[0], r[1].tobytes()))
     return Classifier.fit(list(names), found)
 
@@ -136,11 +142,32 @@ def rate(p: Column, steps: Sequence[np.ndarray]) -> Column:
     return F.aggregate(told, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - dot(v)))
 
 
+def _summed(steps: Sequence[np.ndarray], tries: np.ndarray, total: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row a task: after the steps and each of the tries, the sums of shares and of second moments of (n, p)."""
+    k = tries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares, moments = np.zeros((len(tries), k)), np.zeros((len(tries), k, k))
+        for b in batches:
+            p = b.column("p").flatten().to_numpy().reshape(-1, k)
+            w = b.column("n").to_numpy(zero_copy_only=False) / total
+            r = np.ones(len(p))
+            for v in steps:
+                r = np.maximum(0.0, r - p @ v)
+            for t, v in enumerate(tries):
+                after = np.maximum(0.0, r - p @ v)
+                shares[t] += (w * after) @ p
+                moments[t] += (p * (w * (after > 0))[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array([shares.ravel()], pa.list_(pa.float64())), pa.array([moments.ravel()], pa.list_(pa.float64()))], names=["s", "g"])
+
+    return run
+
+
 def fitted_steps(placed: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, shares) of placed (n, p): shares of all tokens, by which the sum of squared distances from the targets is least.
 
     A step goes along the residual, scaled by the inverse of the second moments of the posteriors of those documents whose rate can
-    move, or along the residual itself; one aggregate looks at several lengths of both, and the best is taken. It ends when the targets
+    move, or along the residual itself; one pass looks at several lengths of both, and the best is taken. It ends when the targets
     are met; or, as these documents can't meet them, when SLOW steps in a row have each taken off less than SLOWLY of the sum: then
     the shares are the nearest to that measure. An error if STEPS don't suffice for either.
     """
@@ -148,19 +175,12 @@ def fitted_steps(placed: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarra
     total = placed.agg(F.sum("n").alias("n")).first().n or 0
     if not total:
         return [], np.zeros(k)
-    p = [F.get("p", F.lit(i)) for i in range(k)]
 
     def looked(steps: list[np.ndarray], tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(shares, moments) after the steps and each of the tries."""
-        w = F.col("n") / float(total)
-        rows = placed.select("n", "p", rate(F.col("p"), steps).alias("r"))
-        sums = []
-        for t, v in enumerate(tries):
-            r = F.greatest(F.lit(0.0), F.col("r") - sum((p[i] * float(v[i]) for i in range(1, k)), p[0] * float(v[0])))
-            free = F.when(r > 0, w).otherwise(0.0)
-            sums += [F.sum(w * r * p[i]).alias(f"s{t}_{i}") for i in range(k)] + [F.sum(free * p[i] * p[j]).alias(f"g{t}_{i}_{j}") for i in range(k) for j in range(i, k)]
-        got = rows.agg(*sums).first()
-        return [(np.array([got[f"s{t}_{i}"] for i in range(k)]), np.array([[got[f"g{t}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])) for t in range(len(tries))]
+        got = placed.select("n", "p").mapInArrow(_summed(steps, np.array(tries), float(total)), "s array<double>, g array<double>").collect()
+        shares, moments = (np.sum([r[c] for r in got], 0) for c in ("s", "g"))
+        return list(zip(shares.reshape(-1, k), moments.reshape(-1, k, k), strict=True))
 
     steps: list[np.ndarray] = []
     (shares, moments), slow = looked(steps, [np.zeros(k)])[0], 0
@@ -201,12 +221,11 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: Mapping[str, floa
     aims = aims / aims.sum()
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(classifier(docs, domains, id_col, text_col, names))
-    placed = written(docs.select(F.col(text_col).alias("text")).mapInArrow(_placed(model), "n long, p array<double>"))
-    steps, shares = fitted_steps(placed, aims)
     own = {id_col.lower(), "n_tokens", "rate", "distance", *(f"p_{d}".lower() for d in names)}
     kept = [c for c in keep if c.lower() not in own]
     rows = docs.select(F.struct(F.col(id_col).alias("id"), *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(kept)]).alias("row"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_placed(model), f"row {rows.schema['row'].dataType.simpleString()}, n long, p array<double>")
+    out = written(rows.mapInArrow(_placed(model), f"row {rows.schema['row'].dataType.simpleString()}, n long, p array<double>"))
+    steps, shares = fitted_steps(out, aims)
     shown = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(names)]
     away = float(np.abs(shares - aims).max()) if len(steps) or shares.sum() else 0.0
     # told before any column of the documents gets its name back
