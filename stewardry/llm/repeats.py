@@ -2,9 +2,10 @@
 
 A window of SPAN units (bytes or words) has an anchor, its run of k units of smallest hash; equal windows have the same anchor at the same
 place. Texts send the hashes of their anchors and learn which ones several documents have; around those they send a context, as far
-as windows with that anchor reach. Equal contexts are one row with their smallest id. A task gets whole anchors, sorts what follows each
+as windows with that anchor reach. A task gets whole anchors, makes equal contexts one with their smallest id, sorts what follows each
 anchor and what stands before it, backwards, and so knows by common prefixes which windows are equal, and the smallest id of each.
-An anchor with very many different contexts isn't gathered: its windows are grouped by Spark, one by one.
+Of an anchor that occurs very often Spark makes equal contexts one row before a task gets it; with very many different ones it isn't gathered:
+its windows are grouped by Spark, one by one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardry.llm.tables import bitmap, bits_for, in_bitmap, kept_rows, text_key, written
@@ -254,7 +255,8 @@ def _resolved(u: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             s = slice(edges[lo], edges[hi])
             found = firsts(u, a[s], ctx[s], nl[s], nr[s], least[s])
             keep = np.flatnonzero(found.min(1) < most[s])
-            yield pa.RecordBatch.from_arrays([pa.array(c[s][keep]), pa.array(list(found[keep]), pa.list_(pa.int64()))], names=["c", "firsts"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * found.shape[1], pa.int32()), pa.array(found[keep].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(c[s][keep]), flat], names=["c", "firsts"])
             lo = hi
 
     return run
@@ -272,6 +274,73 @@ def _windows(contexts: DataFrame, u: Units) -> DataFrame:
     return met.select("c", F.transform(F.sequence(F.lit(0), F.lit(u.most_left)), lambda l: F.coalesce(F.try_element_at("m", l), none)).alias("firsts"))
 
 
+def _stretches(row: pa.Array, pos: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
+    """(row, a, z): the first and the last start of each stretch of windows; hit: by l, whether a smaller id has the window that starts l before pos."""
+    hit = np.pad(hit[:, ::-1], ((0, 0), (1, 1)))  # starts in ascending order
+    left = hit.shape[1] - 3
+    at, a = np.nonzero(hit[:, 1:-1] & ~hit[:, :-2])
+    _, z = np.nonzero(hit[:, 1:-1] & ~hit[:, 2:])
+    return pa.RecordBatch.from_arrays([row.take(pa.array(at)), pa.array(pos[at] - left + a), pa.array(pos[at] - left + z)], names=["row", "a", "z"])
+
+
+def _ids(row: pa.Array, null: int) -> np.ndarray:
+    return row.field("id").fill_null(null).to_numpy()
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            firsts = b.column("firsts").flatten().to_numpy().reshape(b.num_rows, -1)
+            yield _stretches(b.column("row"), b.column("pos").to_numpy(), firsts < _ids(b.column("row"), -(2**63))[:, None])
+
+
+def _gathered(u: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Stretches of the contexts of whole anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        order = np.argsort(t.column("a").to_numpy(), kind="stable")
+        row = t.column("row").combine_chunks().take(pa.array(order))
+        a, c, pos, nl, nr = (t.column(x).to_numpy()[order] for x in ("a", "c", "pos", "nl", "nr"))
+        ctx = np.frombuffer(b"".join(t.column("ctx").to_pylist()), u.dtype).reshape(len(a), -1)
+        edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+        # an anchor of one id alone has nothing to tell
+        own = np.maximum.reduceat(_ids(row, -(2**63)), edges[:-1]) > np.minimum.reduceat(_ids(row, 2**63 - 1), edges[:-1])
+        lo = 0
+        while lo < len(edges) - 1:  # some anchors at once, whole ones
+            hi = max(int(np.searchsorted(edges, edges[lo] + HOT, "right")) - 1, lo + 1)
+            at = edges[lo] + np.flatnonzero(np.repeat(own[lo:hi], np.diff(edges[lo : hi + 1])))
+            lo = hi
+            if not len(at):
+                continue
+            some = row.take(pa.array(at))
+            units = ctx[order[at]]
+            _, first, which = np.unique(c[at], return_index=True, return_inverse=True)
+            same = (units == units[first[which]]).all(1) & (nl[at] == nl[at[first[which]]]) & (nr[at] == nr[at[first[which]]]) & (a[at] == a[at[first[which]]])
+            if not same.all():  # hashes that met by chance: each context by itself
+                first = which = np.arange(len(at))
+            least = np.full(len(first), 2**63 - 1)
+            np.minimum.at(least, which, _ids(some, 2**63 - 1))
+            one = at[first]
+            found = firsts(u, a[one], units[first], nl[one], nr[one], least)
+            yield _stretches(some, pos[at], found[which] < _ids(some, -(2**63))[:, None])
+
+    return run
+
+
+def _frequent(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Anchors that a task has at least so many times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column("a").to_numpy() for b in batches)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a[n >= least]), pa.array(n[n >= least])], names=["k", "n"])
+
+    return run
+
+
 def _shared_map(keys: DataFrame, spark) -> object:
     """The anchors that documents of different ids have, as bits of their hashes; broadcast, of MOST_ANCHOR_BITS at most. A false one costs a context."""
     keys = written(keys)
@@ -298,24 +367,34 @@ def repeated_ranges(rows: DataFrame, u: Units, size: int | None = None) -> DataF
     shards = max(32, int(size) // SHARD_BYTES)
     hashes = rows.select(F.col("row.id").alias("id"), "text").mapInArrow(_hashes(u, shards), "shard long, n long, packed binary")
     shared = _shared_map(hashes.repartition(shards, "shard").mapInArrow(_shared, "a long"), spark)
-    met = closely_written(rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary").withColumn("c", F.xxhash64("a", "nl", "nr", "ctx")))
-    contexts = closely_written(met.groupBy("a", "nl", "nr", "ctx", "c").agg(F.coalesce(F.min("row.id"), F.lit(2**63 - 1)).alias("least"), F.coalesce(F.max("row.id"), F.lit(-(2**63 - 1))).alias("most")))
+    met = closely_written(rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary"))
+    # an anchor that occurs more than HOT times does so more than HOT / 2 times in tasks that have it often
+    often = max(1, HOT // (2 * max(1, met.rdd.getNumPartitions())))
+    hot = written(met.select("a").mapInArrow(_frequent(often), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > HOT // 2).select("k"))
+    some = hot.limit(1).count() > 0
+    cold = met.join(F.broadcast(hot), F.col("a") == F.col("k"), "left_anti") if some else met
+    # asked for after the shuffle: eight bytes that no compression makes fewer need not be sent
+    c = F.xxhash64("a", "nl", "nr", "ctx").alias("c")
+    found = cold.repartition("a").select(c, "*").mapInArrow(_gathered(u), f"row {kind}, a long, z long")
+    if some:
+        found = found.unionByName(_by_context(met.join(F.broadcast(hot), F.col("a") == F.col("k"), "left_semi"), u, c))
+    return found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("z") + SPAN).alias("z")))).alias("ranges"))
+
+
+def _by_context(met: DataFrame, u: Units, c: Column) -> DataFrame:
+    """As `_gathered`, of anchors that occur very often: what is gathered, or grouped, is a row for all equal contexts."""
+    contexts = closely_written(met.groupBy("a", "nl", "nr", "ctx").agg(F.coalesce(F.min("row.id"), F.lit(2**63 - 1)).alias("least"), F.coalesce(F.max("row.id"), F.lit(-(2**63 - 1))).alias("most")))
     counted = contexts.groupBy("a").agg(F.count("*").alias("n"), F.min("least").alias("x"), F.max("most").alias("y")).where("x < y")
     counted = written(counted.select(F.col("a").alias("k"), "n"))
     true = contexts.join(counted, F.col("a") == F.col("k"))
-    small = true.where(F.col("n") <= HOT).select("a", "c", "nl", "nr", "ctx", "least", "most").repartition("a")
+    small = true.where(F.col("n") <= HOT).select("a", "nl", "nr", "ctx", "least", "most").repartition("a").select(c, "*")
     told = small.mapInArrow(_resolved(u), "c long, firsts array<long>")
     # asked of the counts, as contexts would be shuffled once more to tell
     if counted.where(F.col("n") > HOT).limit(1).count():
-        told = told.unionByName(_windows(true.where(F.col("n") > HOT), u))
-    found = met.select("row", "pos", "c").join(told, "c")
+        told = told.unionByName(_windows(true.where(F.col("n") > HOT).select(c, "*"), u))
+    kind = met.schema["row"].dataType.simpleString()
     # windows of one anchor lie side by side: their range is told by the first and the last of each stretch
-    each = F.filter(F.transform("firsts", lambda f, l: F.when(f < F.col("row.id"), F.col("pos") - l)), lambda s: s.isNotNull())
-    starts = found.select("row", F.array_sort(each).alias("s")).where(F.size("s") > 0)
-    begun = F.filter("s", lambda x: ~F.array_contains("s", x - 1))
-    ended = F.filter("s", lambda x: ~F.array_contains("s", x + 1))
-    ranges = starts.select("row", F.inline(F.arrays_zip(begun.alias("a"), ended.alias("z")))).groupBy("row", "a").agg((F.max("z") + SPAN).alias("z"))
-    return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("ranges"))
+    return met.select("row", "pos", c).join(told, "c").select("row", "pos", "firsts").mapInArrow(_covered, f"row {kind}, a long, z long")
 
 
 def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
