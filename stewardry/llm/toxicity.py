@@ -28,6 +28,8 @@ TELLING = 4
 TUNE_ROWS = 40_000
 #: Words whose values a task holds at once; more take another scan for each block of them.
 BLOCK_WORDS = 4_000_000
+#: Labels (ids and classes) that are sent to all tasks, so that texts meet them where they lie; with more, texts that may be labelled are shuffled.
+MOST_SENT = 1_000_000
 #: Words of a chunk of labelled texts, and bytes of labelled texts for each task that counts.
 CHUNK, SHARD_BYTES = 1 << 20, 8 << 20
 #: A word that is so large a part of any chunk is dealt by its contexts.
@@ -263,12 +265,13 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     rows = docs.select(F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("h")).alias("row"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType
     marks = written(labels.where("toxic is not null").groupBy(F.col(id_col).cast(kind).alias("lid")).agg((F.max("toxic") > 0).alias("toxic")).where(F.coalesce(fold(F.col("lid")) != 1, F.lit(False))))
-    bits = bits_for(marks.count())
-    # only texts that may be labelled are shuffled to meet their labels
+    known = marks.count()
+    bits = bits_for(known)
+    # only texts that may be labelled meet their labels, and are shuffled for it where these are too many to be sent
     near = rows.where(in_bitmap(F.xxhash64("row.id"), bitmap(marks.select(F.xxhash64("lid").alias("k")), bits), bits))
     first = fold(F.col("row.id")) == 0
     bit = F.when(first, F.when(F.col("toxic"), _BITS["tA"]).otherwise(_BITS["oA"])).otherwise(F.when(F.col("toxic"), _BITS["tB"]).otherwise(_BITS["oB"]))
-    labelled = written(near.join(marks, F.col("row.id") == F.col("lid")).select("row", "text", bit.cast("int").alias("bit")))
+    labelled = written(near.join(F.broadcast(marks) if known <= MOST_SENT else marks, F.col("row.id") == F.col("lid")).select("row", "text", bit.cast("int").alias("bit")))
     counts = written(continuation_counts(labelled))
     tuned = None
     for of, bits_of in (("A", (_BITS["tB"], _BITS["oB"])), ("B", (_BITS["tA"], _BITS["oA"]))):
