@@ -22,22 +22,25 @@ from stewardry.llm.tables import bitmap, bits_for, in_bitmap, kept_rows, text_ke
 from stewardry.session import fresh_dir
 
 SPAN = 50
-#: Units of a text that are looked through at once; different contexts of an anchor that a task takes; bits of the map of shared anchors at most.
-PIECE, HOT, MOST_ANCHOR_BITS = 1 << 20, 50_000, 1 << 28
+#: Units of texts that are held, and looked through at once; different contexts of an anchor that a task takes; bits of the map of shared anchors at most.
+PIECE, LOOK, HOT, MOST_ANCHOR_BITS = 1 << 20, 1 << 15, 50_000, 1 << 28
 #: Bits of an anchor's hash that tell which ones documents share, and bytes of text for each task that finds out.
 KEY_BITS, SHARD_BYTES = 40, 16 << 20
+#: Beyond the end of any text: where the range of a whole copy ends.
+FAR = 1 << 40
 _base, _mul = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
 @dataclass(frozen=True)
 class Units:
-    """What a text is cut into: `cut` gives its units as an array of `dtype`; an anchor is of `k` units; `sort` gives the order of rows of units."""
+    """What a text is cut into: `cut` gives its units as an array of `dtype`; an anchor is of `k` units; `sort` gives the order of rows of units
+    within groups, whose numbers (ascending) come with the rows."""
 
     cut: Callable[[bytes], np.ndarray]
     dtype: type
     k: int
-    sort: Callable[[np.ndarray], np.ndarray]
+    sort: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
     @property
     def most_left(self) -> int:
@@ -59,96 +62,135 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _running(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
-    """The best of each w in a row, from the bests up to and from the edges of blocks of w."""
-    n = len(x)
-    if w == 1:
-        return x
-    fill = np.uint64(0) if best is np.maximum else np.uint64(2**64 - 1)
-    padded = np.concatenate((x, np.full(-n % w, fill, np.uint64))).reshape(-1, w)
-    left = best.accumulate(padded, 1).ravel()
-    right = best.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return best(right[: n - w + 1], left[w - 1 : n])
-
-
-def anchors(units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the runs of k units that are the smallest of some window; all of those that tie."""
+    """The best of each w in a row, from those of 1, 2, 4 and so on in a row."""
+    have = 1
+    while 2 * have <= w:
+        x = best(x[:-have], x[have:])
+        have *= 2
+    return best(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
+
+
+def anchors(units: np.ndarray, k: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the runs of k units that are the smallest of some window; all of those that tie. within: which starts of windows count, all if None."""
     at, found = [], []
-    ids = (units.astype(np.uint64) + np.uint64(1)) * _mul
-    for lo in range(0, max(1, len(ids) - SPAN + 1), PIECE):
-        part = ids[lo : lo + PIECE + SPAN - 1]
+    for lo in range(0, max(1, len(units) - SPAN + 1), LOOK):
+        part = (units[lo : lo + LOOK + SPAN - 1].astype(np.uint64) + np.uint64(1)) * _mul
         if len(part) < SPAN:
             break
         n = len(part)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(part * _power(_base, n), dtype=np.uint64, out=sums[1:])
-        grams = _mix((sums[k:] - sums[: n - k + 1]) * _power(pow(_base, -1, 1 << 64), n - k + 1))
+        grams = (sums[k:] - sums[: n - k + 1]) * _power(pow(_base, -1, 1 << 64), n - k + 1)
+        # the upper half tells which is smallest; odd, so that it is above what stands for no window
+        upper = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         w = SPAN - k + 1
-        least = _running(grams, w, np.minimum)
-        edge = np.zeros(w - 1, np.uint64)
-        most = _running(np.concatenate((edge, least, edge)), w, np.maximum)
-        p = np.flatnonzero(most == grams)
+        edged = np.zeros(n - SPAN + 1 + 2 * (w - 1), np.uint32)
+        least = edged[w - 1 : n - SPAN + w]
+        least[:] = _running(upper, w, np.minimum)
+        if within is not None:
+            least *= within[lo : lo + len(least)]
+        p = np.flatnonzero(_running(edged, w, np.maximum) == upper)
         at.append(p + lo)
-        found.append(grams[p])
+        found.append(_mix(grams[p]))
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(found)[first]
+    if len(at) == 1:
+        return at[0], found[0]
+    at, found = np.concatenate(at), np.concatenate(found)
+    order = np.argsort(at, kind="stable")  # in order but for the pieces' edges
+    order = order[np.diff(at[order], prepend=-1) > 0]
+    return at[order], found[order]
+
+
+def _joined(u: Units, texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts put together, as many as PIECE units hold: their units with SPAN zeros before, between and behind; where each starts; its length; positions and hashes of anchors."""
+    held, n = [], 0
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in held])
+        starts = np.cumsum(sizes + SPAN) - sizes
+        gap = np.zeros(SPAN, u.dtype)
+        units = np.concatenate([gap, *(y for x in held for y in (x, gap))])
+        within = np.zeros(len(units) + 1, np.int8)
+        long = sizes >= SPAN
+        within[starts[long]] = 1
+        within[starts[long] + sizes[long] - SPAN + 1] = -1
+        return units, starts, sizes, *anchors(units, u.k, np.cumsum(within, dtype=np.int8).astype(np.uint32))
+
+    for x in texts:
+        held.append(u.cut(x))
+        n += len(held[-1]) + SPAN
+        if n >= PIECE:
+            yield together()
+            held, n = [], 0
+    if held:
+        yield together()
 
 
 def _raw(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
-def _packed(k: np.ndarray, ids: np.ndarray) -> bytes:
-    """Keys in order by what each is above the one before, and ids; byte by byte, so that bytes that hardly vary lie together."""
+def _packed(k: np.ndarray, ids: np.ndarray, times: np.ndarray) -> bytes:
+    """Keys in order by what each is above the one before, ids, and how often keys occur; byte by byte, so that bytes that hardly vary lie together."""
     step = np.diff(k, prepend=np.uint64(0))
-    planes = [x.view(np.uint8).reshape(-1, 8).T for x in (step, ids)]
-    return pa.compress(planes[0][: KEY_BITS // 8].tobytes() + planes[1].tobytes(), "zstd", asbytes=True)
+    planes = [x.view(np.uint8).reshape(-1, 8).T for x in (step, ids, times)]
+    return pa.compress(planes[0][: KEY_BITS // 8].tobytes() + planes[1].tobytes() + planes[2].tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = KEY_BITS // 8
-    raw = np.frombuffer(pa.decompress(packed, (size + 8) * n, "zstd", asbytes=True), np.uint8).reshape(-1, n)
+    raw = np.frombuffer(pa.decompress(packed, (size + 16) * n, "zstd", asbytes=True), np.uint8).reshape(-1, n)
     step = np.zeros((n, 8), np.uint8)
     step[:, :size] = raw[:size].T
-    return np.cumsum(step.view(np.uint64)[:, 0], dtype=np.uint64), np.ascontiguousarray(raw[size:].T).view(np.int64)[:, 0]
+    ids, times = (np.ascontiguousarray(x.T).view(np.int64)[:, 0] for x in (raw[size : size + 8], raw[size + 8 :]))
+    return np.cumsum(step.view(np.uint64)[:, 0], dtype=np.uint64), ids, times
+
 
+def _order(k: np.ndarray) -> np.ndarray:
+    """The order of numbers of at most KEY_BITS bits: sorted together with their places, as long as one number holds both."""
+    bits = 64 - KEY_BITS
+    if len(k) > 1 << bits:
+        return np.argsort(k, kind="stable")
+    return (np.sort(k << np.uint64(bits) | np.arange(len(k), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-def _ends(k: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once, with its smallest and its largest id."""
-    order = np.lexsort((ids, k))
+
+def _ends(k: np.ndarray, ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with its smallest and its largest id and how often it occurs."""
+    order = _order(k)
     k, ids = k[order], ids[order]
-    edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-    return k[edges[:-1]], ids[edges[:-1]], ids[edges[1:] - 1]
+    edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k[edges], np.minimum.reduceat(ids, edges), np.maximum.reduceat(ids, edges), np.add.reduceat(times[order], edges)
 
 
 def _hashes(u: Units, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Anchors' keys with the smallest and the largest id that has them, packed by shard. Rows of a null id are told by nothing and tell nothing."""
+    """Anchors' keys with the smallest and the largest id that has them, and their numbers, packed by shard. Rows of a null id are told by nothing and tell nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            k, least, most = _ends(np.concatenate(keys), np.concatenate(ids))
+            k, least, most, times = _ends(np.concatenate(keys), np.concatenate(ids), np.ones(sum(map(len, keys)), np.int64))
             keys.clear()
             ids.clear()
             twice = least < most
-            k, i = np.concatenate((k, k[twice])), np.concatenate((least, most[twice]))
-            order = np.argsort(k, kind="stable")
-            k, i = k[order], i[order]
+            rows = 1 + twice
+            last = np.cumsum(rows) - 1
+            k, i, t = (np.repeat(x, rows) for x in (k, least, times))
+            i[last[twice]], t[last[twice]] = most[twice], 0
             shard = (k * np.uint64(shards)) >> np.uint64(KEY_BITS)
             edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
-            blobs = [_packed(k[a:z], i[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            blobs = [_packed(k[a:z], i[a:z], t[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int64)), pa.array(np.diff(edges)), pa.array(blobs, pa.binary())], names=["shard", "n", "packed"])
 
         for b in batches:
-            for i, x in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                if i is None:
-                    continue
-                found = np.unique(anchors(u.cut(_raw(x)), u.k)[1] & np.uint64((1 << KEY_BITS) - 1))
-                keys.append(found)
-                ids.append(np.full(len(found), i, np.int64))
-                n += len(found)
+            b = b.filter(b.column("id").is_valid())
+            told, done = b.column("id").to_numpy(), 0
+            for _, starts, _, at, h in _joined(u, map(_raw, b.column("text"))):
+                keys.append(h & np.uint64((1 << KEY_BITS) - 1))
+                ids.append(told[done + np.searchsorted(starts, at, "right") - 1])
+                done += len(starts)
+                n += len(at)
                 if n >= PIECE:
                     yield flush()
                     n = 0
@@ -159,11 +201,13 @@ def _hashes(u: Units, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that different ids have, of the shards of a task."""
+    """Keys that different ids have, and how often they occur, of the shards of a task; less than nothing for one id's own that occur more than HOT times."""
     found = [_unpacked(n, p) for b in batches for n, p in zip(b.column("n").to_pylist(), b.column("packed").to_pylist(), strict=True)]
     if found:
-        k, least, most = _ends(*map(np.concatenate, zip(*found, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(k[least < most].view(np.int64))], names=["a"])
+        k, least, most, times = _ends(*map(np.concatenate, zip(*found, strict=True)))
+        times = np.where(least < most, times, -times)
+        met = (times > 0) | (times < -HOT)
+        yield pa.RecordBatch.from_arrays([pa.array(k[met].view(np.int64)), pa.array(times[met])], names=["a", "n"])
 
 
 def _batched(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -179,60 +223,98 @@ def _batched(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _contexts(u: Units, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _contexts(u: Units, shared, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts of shared anchors, of those that occur very often or of the others. Rows of a null id have nothing to tell or to learn."""
     left, size = u.most_left, np.dtype(u.dtype).itemsize
+    width = (left + SPAN) * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, often = shared.value
         for b in batches:
-            for row, x in zip(b.column("row"), b.column("text"), strict=True):
-                units = u.cut(_raw(x))
-                at, h = anchors(units, u.k)
+            b = b.filter(b.column("row").field("id").is_valid())
+            row, done = b.column("row"), 0
+            for units, starts, sizes, at, h in _joined(u, map(_raw, b.column("text"))):
                 spot = h & np.uint64(8 * len(bits) - 1)
                 met = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                met[met] = np.isin(h[met] & np.uint64((1 << KEY_BITS) - 1), often) == hot
                 at, h = at[met], h[met]
-                if not len(at):
-                    continue
-                padded = np.concatenate((np.zeros(left, units.dtype), units, np.zeros(SPAN, units.dtype)))
-                for lo in range(0, len(at), 4096):
-                    p = at[lo : lo + 4096]
-                    ctx = np.ascontiguousarray(padded[p[:, None] + np.arange(left + SPAN)])
-                    whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ctx.shape[1] * size), len(p), [None, pa.py_buffer(ctx.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(p), row.type), pa.array(p), pa.array(h[lo : lo + 4096].view(np.int64)), pa.array(np.minimum(p, left).astype(np.int32)), pa.array(np.minimum(len(units) - p, SPAN).astype(np.int32)), whole], names=["row", "pos", "a", "nl", "nr", "ctx"])
+                around = np.lib.stride_tricks.sliding_window_view(units, left + SPAN)
+                for lo in range(0, len(at), 20_000):
+                    p = at[lo : lo + 20_000]
+                    of = np.searchsorted(starts, p, "right") - 1
+                    pos = p - starts[of]
+                    ctx = np.ascontiguousarray(around[p - left])
+                    whole = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.arange(len(p) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(ctx)])
+                    yield pa.RecordBatch.from_arrays([row.take(pa.array(done + of)), pa.array(pos), pa.array(h[lo : lo + 20_000].view(np.int64)), pa.array(np.minimum(pos, left).astype(np.int32)), pa.array(np.minimum(sizes[of] - pos, SPAN).astype(np.int32)), whole], names=["row", "pos", "a", "nl", "nr", "ctx"])
+                done += len(starts)
 
     return run
 
 
+def _wide(rows: np.ndarray) -> np.ndarray:
+    """Rows as fewer, wider numbers, to be told equal by."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.shape[1] * rows.itemsize
+    return rows.view(next(x for x in (np.uint64, np.uint32, np.uint16, np.uint8) if size % np.dtype(x).itemsize == 0))
+
+
+def _units_of(u: Units, ctx: pa.ChunkedArray) -> np.ndarray:
+    """Contexts as rows of units; all are of the same size."""
+    size = (u.most_left + SPAN) * np.dtype(u.dtype).itemsize
+    parts = [np.frombuffer(c.buffers()[2], np.uint8, size * len(c), int(np.frombuffer(c.buffers()[1], np.int32, 1, 4 * c.offset)[0])) for c in ctx.cast(pa.binary()).chunks if len(c)]
+    return np.concatenate(parts).view(u.dtype).reshape(len(ctx), -1)
+
+
 def firsts(u: Units, anchor: np.ndarray, ctx: np.ndarray, nl: np.ndarray, nr: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each context and l, the smallest id of those whose window from l units before the anchor is the same; the largest number where there is no such window."""
+    """For each context (in order of anchors) and l, the smallest id of those whose window from l units before the anchor is the same; the largest number where there is no such window."""
     n, left = len(anchor), u.most_left
-    key = np.unique(anchor, return_inverse=True)[1]
     out = np.full((n, left + 1), np.iinfo(np.int64).max)
+    key = np.cumsum(np.concatenate(([0], anchor[1:] != anchor[:-1])))
+    # an anchor's own units are the same, and needn't be sorted, unless hashes met by chance
+    own = _wide(ctx[:, left : left + u.k])
+    start = left + u.k if (own == own[np.searchsorted(key, key)]).all() else left
 
     def depths(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order by anchor, then by the row, and how far each goes along with the one before; another anchor not at all."""
-        order = u.sort(rows)
-        order = order[np.argsort(key[order], kind="stable")]
-        differ = rows[order[1:]] != rows[order[:-1]]
-        common = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-        same = key[order[1:]] == key[order[:-1]]
-        return order, np.concatenate(([-1], np.where(same, common, -1)))
-
-    right, far = depths(ctx[:, left:])
+        order = u.sort(rows, key)
+        again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        differ = rows[order[again + 1]] != rows[order[again]]
+        along = differ.argmax(1)
+        far = np.full(n, -1)
+        far[again + 1] = np.where(differ[np.arange(len(along)), along], along, rows.shape[1])
+        return order, far
+
+    right, far = depths(np.ascontiguousarray(ctx[:, start:]))
+    far[far >= 0] += start - left
     back, near = depths(np.ascontiguousarray(ctx[:, :left][:, ::-1]))
+
+    def most(order: np.ndarray, along: np.ndarray) -> np.ndarray:
+        told = np.empty(n, np.int64)
+        told[order] = np.maximum(along, np.concatenate((along[1:], [-1])))
+        return told
+
+    most_right, most_left = most(right, far), most(back, near)
+    bits = np.uint64(int(n).bit_length())
+    g_right, g_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for l in range(left + 1):
         d = SPAN - l
-        g_right, g_left = np.empty(n, np.int64), np.empty(n, np.int64)
+        valid = (nr >= d) & (nl >= l)
+        out[valid, l] = least[valid]
+        # no other one has the window of a context that goes along with none so far, to the right or to the left
+        some = np.flatnonzero(valid & (most_right >= d) & (most_left >= l))
+        if not len(some):
+            continue
         g_right[right] = np.cumsum(far < d)
         g_left[back] = np.cumsum(near < l)
-        valid = np.flatnonzero((nr >= d) & (nl >= l))
-        if len(valid):
-            both = g_right[valid] * (n + 1) + g_left[valid]
+        if 3 * int(bits) <= 64:  # sorted together with their places
+            both = np.sort((g_right[some].astype(np.uint64) << bits | g_left[some].astype(np.uint64)) << bits | np.arange(len(some), dtype=np.uint64))
+            some, s = some[(both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], both >> bits
+        else:
+            both = g_right[some] * (n + 1) + g_left[some]
             order = np.argsort(both, kind="stable")
-            s = both[order]
-            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            smallest = np.minimum.reduceat(least[valid][order], starts)
-            out[valid[order], l] = np.repeat(smallest, np.diff(np.concatenate((starts, [len(s)]))))
+            some, s = some[order], both[order]
+        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        out[some, l] = np.repeat(np.minimum.reduceat(least[some], starts), np.diff(np.concatenate((starts, [len(s)]))))
     return out
 
 
@@ -246,7 +328,7 @@ def _resolved(u: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         order = np.argsort(a, kind="stable")
         a = a[order]
         column = lambda c: t.column(c).to_numpy()[order]
-        ctx = np.frombuffer(b"".join(t.column("ctx").to_pylist()), u.dtype).reshape(len(a), -1)[order]
+        ctx = _units_of(u, t.column("ctx"))[order]
         c, nl, nr, least, most = (column(x) for x in ("c", "nl", "nr", "least", "most"))
         edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
         lo = 0
@@ -301,14 +383,16 @@ def _gathered(u: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        order = np.argsort(t.column("a").to_numpy(), kind="stable")
+        t = pa.Table.from_batches(parts)
+        order = np.lexsort((t.column("c").to_numpy(), t.column("a").to_numpy()))
         row = t.column("row").combine_chunks().take(pa.array(order))
         a, c, pos, nl, nr = (t.column(x).to_numpy()[order] for x in ("a", "c", "pos", "nl", "nr"))
-        ctx = np.frombuffer(b"".join(t.column("ctx").to_pylist()), u.dtype).reshape(len(a), -1)
+        least, most = _ids(row, 2**63 - 1), _ids(row, -(2**63))
+        ctx = _units_of(u, t.column("ctx"))
+        del parts, t  # all of it is copied
         edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
         # an anchor of one id alone has nothing to tell
-        own = np.maximum.reduceat(_ids(row, -(2**63)), edges[:-1]) > np.minimum.reduceat(_ids(row, 2**63 - 1), edges[:-1])
+        own = np.maximum.reduceat(most, edges[:-1]) > np.minimum.reduceat(least, edges[:-1])
         lo = 0
         while lo < len(edges) - 1:  # some anchors at once, whole ones
             hi = max(int(np.searchsorted(edges, edges[lo] + HOT, "right")) - 1, lo + 1)
@@ -316,45 +400,41 @@ def _gathered(u: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             lo = hi
             if not len(at):
                 continue
-            some = row.take(pa.array(at))
             units = ctx[order[at]]
-            _, first, which = np.unique(c[at], return_index=True, return_inverse=True)
-            same = (units == units[first[which]]).all(1) & (nl[at] == nl[at[first[which]]]) & (nr[at] == nr[at[first[which]]]) & (a[at] == a[at[first[which]]])
+            new = np.concatenate(([True], (c[at[1:]] != c[at[:-1]]) | (a[at[1:]] != a[at[:-1]])))
+            again = np.flatnonzero(~new)
+            wide = _wide(units)
+            same = (wide[again] == wide[again - 1]).all(1) & (nl[at[again]] == nl[at[again - 1]]) & (nr[at[again]] == nr[at[again - 1]])
+            new[again] = ~same
             if not same.all():  # hashes that met by chance: each context by itself
-                first = which = np.arange(len(at))
-            least = np.full(len(first), 2**63 - 1)
-            np.minimum.at(least, which, _ids(some, 2**63 - 1))
+                new[:] = True
+            first, which = np.flatnonzero(new), np.cumsum(new) - 1
             one = at[first]
-            found = firsts(u, a[one], units[first], nl[one], nr[one], least)
-            yield _stretches(some, pos[at], found[which] < _ids(some, -(2**63))[:, None])
-
-    return run
-
-
-def _frequent(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Anchors that a task has at least so many times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column("a").to_numpy() for b in batches)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a[n >= least]), pa.array(n[n >= least])], names=["k", "n"])
+            found = firsts(u, a[one], units[first], nl[one], nr[one], np.minimum.reduceat(least[at], first))
+            tell = np.flatnonzero(found.min(1)[which] < most[at])
+            at, which = at[tell], which[tell]
+            yield _stretches(row.take(pa.array(at)), pos[at], found[which] < most[at][:, None])
 
     return run
 
 
-def _shared_map(keys: DataFrame, spark) -> object:
-    """The anchors that documents of different ids have, as bits of their hashes; broadcast, of MOST_ANCHOR_BITS at most. A false one costs a context."""
-    keys = written(keys)
+def _shared_map(keys: DataFrame, spark) -> tuple[object, bool]:
+    """The anchors that documents of different ids have, as bits of their hashes, of MOST_ANCHOR_BITS at most (a false one costs a context), with the keys that
+    occur more than HOT times; broadcast. Whether there are such ones."""
+    told = written(keys)
+    keys = told.where("n > 0")
     n = keys.count()
     bits = min(MOST_ANCHOR_BITS, max(1 << 16, 1 << (32 * n).bit_length()))
     spots = keys.select(F.pmod("a", F.lit(bits)).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 3).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(spot % 8 as int))")).cast("int").alias("b")).toArrow()
     held = np.zeros(bits // 8, np.uint8)
     held[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return spark.sparkContext.broadcast(held)
+    often = np.sort(told.where(F.abs("n") > HOT).select("a").toArrow().column("a").to_numpy().astype(np.uint64))
+    return spark.sparkContext.broadcast((held, often)), len(often) > 0
 
 
 def closely_written(df: DataFrame) -> DataFrame:
-    """As `written`, by Zstandard: contexts that lie beside one another have most of their units in common."""
+    """As `written`, by Zstandard: contexts that lie beside one another have most of their units in common, ranges most of their bytes."""
     path = fresh_dir(df.sparkSession, "stewardry")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -366,18 +446,16 @@ def repeated_ranges(rows: DataFrame, u: Units, size: int | None = None) -> DataF
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n if size is None else size
     shards = max(32, int(size) // SHARD_BYTES)
     hashes = rows.select(F.col("row.id").alias("id"), "text").mapInArrow(_hashes(u, shards), "shard long, n long, packed binary")
-    shared = _shared_map(hashes.repartition(shards, "shard").mapInArrow(_shared, "a long"), spark)
-    met = closely_written(rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary"))
-    # an anchor that occurs more than HOT times does so more than HOT / 2 times in tasks that have it often
-    often = max(1, HOT // (2 * max(1, met.rdd.getNumPartitions())))
-    hot = written(met.select("a").mapInArrow(_frequent(often), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > HOT // 2).select("k"))
-    some = hot.limit(1).count() > 0
-    cold = met.join(F.broadcast(hot), F.col("a") == F.col("k"), "left_anti") if some else met
+    shared, some = _shared_map(hashes.repartition(shards, "shard").mapInArrow(_shared, "a long, n long"), spark)
+
+    def contexts(hot: bool) -> DataFrame:
+        return rows.select("row", "text").mapInArrow(lambda b, f=_contexts(u, shared, hot): _batched(f(b), 20_000), f"row {kind}, pos long, a long, nl int, nr int, ctx binary")
+
     # asked for after the shuffle: eight bytes that no compression makes fewer need not be sent
     c = F.xxhash64("a", "nl", "nr", "ctx").alias("c")
-    found = cold.repartition("a").select(c, "*").mapInArrow(_gathered(u), f"row {kind}, a long, z long")
+    found = contexts(False).repartition("a").select(c, "*").mapInArrow(_gathered(u), f"row {kind}, a long, z long")
     if some:
-        found = found.unionByName(_by_context(met.join(F.broadcast(hot), F.col("a") == F.col("k"), "left_semi"), u, c))
+        found = found.unionByName(_by_context(closely_written(contexts(True)), u, c))
     return found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("z") + SPAN).alias("z")))).alias("ranges"))
 
 
@@ -397,14 +475,21 @@ def _by_context(met: DataFrame, u: Units, c: Column) -> DataFrame:
     return met.select("row", "pos", c).join(told, "c").select("row", "pos", "firsts").mapInArrow(_covered, f"row {kind}, a long, z long")
 
 
-def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for r in ranges:
-        if out and r["a"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], r["z"]))
-        else:
-            out.append((r["a"], r["z"]))
-    return out
+def _merged(ranges: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Ranges of each row, in order of their starts, made apart. Ends lie below FAR, or are it."""
+    sizes = ranges.value_lengths().fill_null(0).to_numpy()
+    flat = ranges.flatten()
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    a, z = flat.field("a").to_numpy(), np.minimum(flat.field("z").to_numpy(), FAR)
+    # the furthest end so far, of the same row: rows lie apart
+    far = np.maximum.accumulate(z + of * (2 * FAR))
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] + of[1:] * (2 * FAR) > far[:-1]
+    starts = np.flatnonzero(new)
+    ends = far[np.append(starts[1:], len(a)) - 1] - of[starts] * (2 * FAR) if len(a) else far
+    pairs = list(zip(a[starts].tolist(), ends.tolist(), strict=True))
+    cuts = np.searchsorted(of[starts], np.arange(len(sizes) + 1)).tolist()
+    return [pairs[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def remove_repeats(docs: DataFrame, u: Units, cut: Callable[[bytes, list[tuple[int, int]]], tuple[int, int, bytes]], id_col: str, text_col: str) -> DataFrame:
@@ -418,7 +503,7 @@ def remove_repeats(docs: DataFrame, u: Units, cut: Callable[[bytes, list[tuple[i
     decided = digests.join(alike.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").select("row.id", "row.h", F.coalesce("kept", F.lit(True)).alias("kept"))
     own = kept_rows(rows.select("id", "text"), decided, "id", "text").select(F.struct(F.col("id"), text_key(F.col("text")).alias("h")).alias("row"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first().n
-    ranges = written(repeated_ranges(own, u, size))
+    ranges = closely_written(repeated_ranges(own, u, size))
     # a later copy has what the first one has, and all of its own besides: it is one range
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(2**62).cast("long").alias("z")))
     # rows alike under one id have the first one's ranges
@@ -432,7 +517,7 @@ def remove_repeats(docs: DataFrame, u: Units, cut: Callable[[bytes, list[tuple[i
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = [(len(r := _merge(x or [])), cut(_raw(t), r)) for t, x in zip(b.column("text"), b.column("ranges").to_pylist(), strict=True)]
+            told = [(len(r), cut(_raw(t), r)) for t, r in zip(b.column("text"), _merged(b.column("ranges")), strict=True)]
             # a range that goes beyond the text is a whole copy: of a text too short for a window it is none
             yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array([c[j] for _, c in told], pa.int64()) for j in (0, 1)], pa.array([s if c[1] else 0 for s, c in told], pa.int64()), pa.array([c[2] for _, c in told], pa.binary())], names=["row", "n", "n_removed", "n_spans", "kept"])
 

@@ -62,25 +62,35 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(rows: np.ndarray) -> np.ndarray:
-    """The order of rows of bytes."""
+def deep_shallow(rows: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """The order of rows of bytes, within groups (ascending numbers, one for all rows if None)."""
     n, width = rows.shape
+    order, edge = np.arange(n), np.zeros(n + 1, bool)
+    edge[[0, n]] = True
+    if groups is not None and n:
+        edge[1:n] = groups[1:] != groups[:-1]
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
     words = padded.view(">u8").astype(np.uint64)
-    order = np.arange(n)
     # multikey quicksort: groups that agree so far are ordered by their next word, all of a depth at once
-    group = np.zeros(n, np.int64)
     for k in range(min(SHALLOW // 8, words.shape[1])):
-        by = np.lexsort((words[order, k], group))
-        order, group = order[by], group[by]
-        w = words[order, k]
-        group = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (w[1:] != w[:-1])))) if n else group
-    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if n else np.zeros(1, np.int64)
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
-        if z - a > 1 and width > SHALLOW:
-            part = order[a:z]
-            order[a:z] = part[BlindTrie(rows[part][:, SHALLOW:]).order()]
+        at = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        if not len(at):
+            return order
+        part = order[at]
+        by = np.lexsort((words[part, k], np.cumsum(edge[at])))
+        order[at] = part = part[by]
+        w = words[part, k]
+        edge[at[1:]] |= w[1:] != w[:-1]
+    # of what still agrees, groups whose rows are not all the same
+    deep = words[:, SHALLOW // 8 :]
+    at = np.flatnonzero(~edge[:n])
+    at = at[(deep[order[at]] != deep[order[at - 1]]).any(1)]
+    edges = np.flatnonzero(edge)
+    for g in np.unique(np.searchsorted(edges, at, "right")):
+        a, z = edges[g - 1], edges[g]
+        part = order[a:z]
+        order[a:z] = part[BlindTrie(rows[part][:, SHALLOW:]).order()]
     return order
 
 

@@ -40,10 +40,10 @@ def subtree(rows: np.ndarray, members: np.ndarray, depth: int) -> list[int]:
     return out
 
 
-def prefix_partitioned(rows: np.ndarray) -> np.ndarray:
-    """The order of rows of words: large groups are split by one word more, small ones become subtrees."""
+def prefix_partitioned(rows: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """The order of rows of words, within groups (ascending numbers, one for all rows if None): large groups are split by one word more, small ones become subtrees."""
     n, width = rows.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
+    order, group = np.arange(n), np.zeros(n, np.int64) if groups is None else groups
     done = np.zeros(n, bool)
     for k in range(width):
         by = np.lexsort((np.where(done, 0, rows[order, k]), group))
